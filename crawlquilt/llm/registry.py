@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlquilt.llm import packing
+from crawlquilt.llm import decontam, licenses, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_packing": packing.op9_packing}
+    return {
+        "op2_license_scan": licenses.op2_license_scan,
+        "op9_packing": packing.op9_packing,
+        "op10_decontaminate": decontam.op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
