@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlquilt.llm import decontam, licenses, packing
+from crawlquilt.llm import decontam, langid, licenses, packing, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": licenses.op2_license_scan,
+        "op6_url_filter": urlfilter.op6_url_filter,
+        "op7_language_id": langid.op7_language_id,
         "op9_packing": packing.op9_packing,
         "op10_decontaminate": decontam.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": urlfilter.OP6_SQL}
