@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlquilt.llm import decontam, langid, licenses, packing, urlfilter
+from crawlquilt.llm import decontam, langid, licenses, linededup, packing, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op2_license_scan": licenses.op2_license_scan,
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_language_id": langid.op7_language_id,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlfilter.OP6_SQL}
+    return {"op1_line_dedup": linededup.OP1_SQL, "op6_url_filter": urlfilter.OP6_SQL}
