@@ -68,6 +68,18 @@ def columns_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Rows of two longs that may be broadcast; more are joined by a shuffle.
+MOST_SENT = 500_000
+
+
+def matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined (``left_semi`` or ``left_anti``) with a written table of ``_id`` and
+    ``_key``, a doc_id and a text key. The keys are counted: few are broadcast, so that
+    the texts aren't shuffled, many are not."""
+    side = F.broadcast(keys) if keys.count() <= MOST_SENT else keys
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["_id"]) & (text_key(docs["text"]) == side["_key"]), how)
+
+
 def per_row(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """``rows`` maps an iterator of row dicts of a partition to result dicts, by
     Arrow batches of bounded size on the way in and out."""
@@ -97,9 +109,9 @@ class WordHashes:
 
     def __init__(self, most: int = 1 << 19):
         self.most = most
-        self.seen: dict[str, int] = {}
+        self.seen: dict[bytes, int] = {}
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > self.most:
             seen.clear()
@@ -107,7 +119,7 @@ class WordHashes:
         for w in words:
             h = seen.get(w)
             if h is None:
-                h = seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                h = seen[w] = xxhash.xxh3_64_intdigest(w)
             out.append(h)
         return np.array(out, dtype=np.uint64)
 
@@ -120,10 +132,3 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
 
-
-def ascii_lower(text: str) -> str:
-    """A-Z to lower case, all else as it is."""
-    return text if text.isascii() and text.islower() else text.translate(_LOWER) if not text.isascii() else text.lower()
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}

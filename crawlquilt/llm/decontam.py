@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlquilt.llm.common import arrow_schema, columns_batch, table, text_key, written
+from crawlquilt.llm.common import arrow_schema, columns_batch, matching, table, text_key, written
 
 RATE = 0.08
 #: Items with fewer normal bytes take no part: they say too little to be a passage.
@@ -187,7 +187,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_bytes
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     hits = written(matches(docs, benchmark, rate).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_key")).distinct())
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (text_key(docs["text"]) == hits["_key"]), "left_anti")
+    return matching(docs, hits, "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

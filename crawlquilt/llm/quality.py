@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlquilt.llm.common import WordHashes, arrow_schema, columns_batch, mix, table, text_key, written
+from crawlquilt.llm.common import WordHashes, arrow_schema, columns_batch, matching, mix, table, text_key, written
 
 #: log2 of the number of n-gram buckets.
 BITS = 16
@@ -35,7 +35,8 @@ TARGET_LOSS = 0.002
 SEED = 7
 
 _SCORED = "doc_id long, text_hash long, weight double, gumbel_key double, sort_key long, target boolean"
-_WORD = re.compile(r"[^\W_]+|[^\w\s]+|_+")
+#: Letters and digits (and all that isn't ASCII), or other signs.
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 
 
 class Features:
@@ -44,7 +45,7 @@ class Features:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Buckets of the words and word pairs of a text."""
-        found = _WORD.findall(text or "")
+        found = _WORD.findall((text or "").encode("utf-8", "replace"))
         if not found:
             return np.zeros(0, dtype=np.int64)
         h = self.hashes(found)
@@ -155,7 +156,7 @@ def select(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLE
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns."""
     bad = select(docs, labels).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_key")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (text_key(docs["text"]) == bad["_key"]), "left_anti")
+    return matching(docs, written(bad), "left_anti")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
