@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlquilt.llm import decontam, jaccard, langid, licenses, linededup, packing, quality, urlfilter
+from crawlquilt.llm import ann, decontam, jaccard, langid, licenses, linededup, packing, quality, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_nearest_neighbours": ann.op4_nearest_neighbours,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_language_id": langid.op7_language_id,
