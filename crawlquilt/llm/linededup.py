@@ -33,6 +33,7 @@ from crawlquilt.llm.common import arrow_schema, columns_batch, table, text_key,
 MIN_WORDS = 50
 
 _LINES = "doc_id long, key long, pos int, need int, h1 long, h2 long"
+_SPACE = " \t\x0b\x0c\r"
 _AT = ["doc_id", "key", "pos"]
 
 
@@ -126,23 +127,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = docs.select(*names, text_key(F.col("text")).alias("_text_key"))
     joined = left.join(spans, left["doc_id"].eqNullSafe(spans["_doc_id"]) & (left["_text_key"] == spans["_key"]), "left").select(*names, "_spans")
 
-    def cut(text, spans):
-        """The numbers of the lines to delete, by the same reading of lines as above."""
-        gone = set()
-        found = [i for i, _ in lines(text)]
-        for s in spans:
-            gone.update(found[s["pos"] : s["pos"] + s["need"]])
-        return sorted(gone)
-
-    @F.pandas_udf("array<int>")
-    def removed(texts, spans):
-        import pandas as pd
-
-        return pd.Series([[] if s is None else cut(t, s) for t, s in zip(texts, spans, strict=True)])
-
-    # Texts without a later copy need no Python.
     split = F.split("text", "\n")
-    numbered = joined.withColumn("removed", F.when(F.col("_spans").isNull(), F.array().cast("array<int>")).otherwise(removed("text", "_spans")))
+    # The same lines as in lines(): each that is more than ASCII white space, by its number.
+    full = F.filter(F.transform(split, lambda x, i: F.when(F.trim(x, F.lit(_SPACE)) != "", i)), lambda i: i.isNotNull())
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_full"), s["pos"] + 1, s["need"])))))
+    none = F.array().cast("array<int>")
+    numbered = joined.withColumn("_full", F.when(F.col("_spans").isNotNull(), full)).withColumn("removed", F.when(F.col("_spans").isNull(), none).otherwise(gone))
     kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n"))
     return numbered.select(*(c for c in names if c != "text"), kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed").select(*names, "n_lines", "n_removed", "removed")
 
