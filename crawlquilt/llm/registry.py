@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlquilt.llm import ann, decontam, jaccard, langid, licenses, linededup, packing, quality, urlfilter
+import corpus_pipeline
+from crawlquilt.llm import ann, decontam, jaccard, langid, licenses, linededup, packing, quality, secrets, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,10 +19,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_language_id": langid.op7_language_id,
+        "op8_secret_scan": secrets.op8_secret_scan,
         "op9_packing": packing.op9_packing,
         "op10_decontaminate": decontam.op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": linededup.OP1_SQL, "op6_url_filter": urlfilter.OP6_SQL}
+    sql = {"op1_line_dedup": linededup.OP1_SQL, "op6_url_filter": urlfilter.OP6_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
