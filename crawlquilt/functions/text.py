@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlquilt.functions import STRING, STRINGS, record
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -107,7 +109,7 @@ def normalize_fetch_error(error: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), error), F.lit(""))
 
 
-@F.pandas_udf("struct<status:string, error:string>")
+@F.pandas_udf(record(status=STRING, error=STRING))
 def parse_json_ld(raw: pd.Series) -> pd.DataFrame:
     """Strict JSON: one value and nothing after it. EMPTY_INPUT, PARSE_SUCCESS or PARSE_ERROR."""
 
@@ -162,7 +164,7 @@ def judge_directive(token: str) -> str:
     return "valid" if pd.notna(pd.to_datetime(value, errors="coerce", utc=True)) else "parse_error"
 
 
-@F.pandas_udf("struct<tokens:array<string>, unsupported:array<string>, errors:array<string>>")
+@F.pandas_udf(record(tokens=STRINGS, unsupported=STRINGS, errors=STRINGS))
 def parse_directives(content: pd.Series) -> pd.DataFrame:
     rows = []
     for c in content:

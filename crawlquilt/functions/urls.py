@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlquilt.functions import STRING, record
+
 # Query parameters that only track visits.
 TRACKING = ["gclid", "fbclid", "yclid", "msclkid", "mc_eid", "mc_cid", "igshid", "_ga", "gbraid", "wbraid", "dclid", "ttclid"]
 TRACKING_PREFIX = "utm_"
@@ -132,7 +134,7 @@ def normalize_input(typed: Column | str) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def resolve_link(base: pd.Series, href: pd.Series) -> pd.Series:
     """``href`` against ``base`` without its fragment; null unless it is http(s)."""
 
@@ -151,7 +153,7 @@ def resolve_link(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
 
-@F.pandas_udf("struct<status:string, resolved:string, error:string>")
+@F.pandas_udf(record(status=STRING, resolved=STRING, error=STRING))
 def classify_canonical(page: pd.Series, base: pd.Series, raw: pd.Series) -> pd.DataFrame:
     """Whether a declared canonical can be resolved: valid, parser_error, resolution_error
     or insufficient_evidence (relative, and the base that holds for it isn't known)."""

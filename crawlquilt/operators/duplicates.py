@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlquilt import schema as S
+from crawlquilt.functions import INTS
 from crawlquilt.functions.text import norm
 from crawlquilt.schema import Crawl
 
@@ -63,7 +64,7 @@ def simhash(texts: pd.Series) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(INTS)
 def simhash_bands(texts: pd.Series) -> pd.Series:
     h = simhash(texts)
     return pd.Series([[int(b << 16 | (int(x) >> (16 * b)) & 0xFFFF) for b in range(4)] for x in h])

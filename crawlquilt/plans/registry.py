@@ -2,14 +2,372 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crawlquilt import schema as S
+from crawlquilt.functions import urls as U
+from crawlquilt.operators import duplicates, finalize, frontier, grid, issues, pagespeed
+from crawlquilt.plans.views import CRAWL_SQL, crawl, key_sql, read
+from crawlquilt.schema import Crawl
+
+FLAGSHIP = "issue_rows"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with SQL over the crawl if given."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"WITH {CRAWL_SQL}{sql}"
+        return f
+
+    return add
+
+
+def full(spark: SparkSession, sf_dir: str) -> Crawl:
+    """The crawl with what the engine finds: inlinks, orphans, issues and duplicates."""
+    c = crawl(spark, sf_dir)
+    linked = finalize.inlinks(c)
+    out = c.links.groupBy("run_id", F.col("src_id").alias("url_id")).agg(F.count_if(F.col("flags").bitwiseAND(1) != 0).alias("outlinks"), F.count_if(F.col("flags").bitwiseAND(1) == 0).alias("outlinks_ext"))
+    found = issues.evaluate(c.pages).drop("pos").unionByName(finalize.orphans(c)).unionByName(finalize.redirect_sources(c)).unionByName(finalize.broken_images(c)).unionByName(duplicates.exact_issues(c))
+    orphan = finalize.orphans(c).select("run_id", "url_id", F.lit(True).alias("orphan"))
+    pages = c.pages.join(linked, ["run_id", "url_id"]).join(out, ["run_id", "url_id"], "left").join(orphan, ["run_id", "url_id"], "left").join(issues.counts(c.pages, found), ["run_id", "url_id"])
+    pages = pages.na.fill(0, ["outlinks", "outlinks_ext"]).withColumn("orphan", F.coalesce("orphan", F.lit(False)))
+    return replace(c, pages=pages, issues=found, dupes=duplicates.exact(c))
+
+
+# The engine's facts in SQL: i issues, f pages with all facts.
+_PAGE = "is_internal AND kind = 'html' AND status_class = 2"
+_ISSUE_RULES = [
+    ("timeout", "error_type = 'timeout'", "''"),
+    ("dns-not-found", "error_type = 'dns-not-found'", "''"),
+    ("server-error", "status >= 500", "status::VARCHAR"),
+    ("client-error", "status BETWEEN 400 AND 499 AND status <> 429", "status::VARCHAR"),
+    ("redirect", "status BETWEEN 300 AND 399", "redirect_to"),
+    ("redirect-chain", "status <> 0 AND redirect_hops > 1", "''"),
+    ("title-missing", f"{_PAGE} AND title = ''", "''"),
+    ("title-long", f"{_PAGE} AND title_len > 60", "''"),
+    ("title-short", f"{_PAGE} AND title_len BETWEEN 1 AND 29", "''"),
+    ("title-multiple", f"{_PAGE} AND title_count > 1", "''"),
+    ("title-same-as-h1", f"{_PAGE} AND title <> '' AND lower(title) = lower(h1)", "''"),
+    ("meta-missing", f"{_PAGE} AND meta_desc = ''", "''"),
+    ("meta-long", f"{_PAGE} AND meta_desc_len > 160", "''"),
+    ("meta-short", f"{_PAGE} AND meta_desc_len BETWEEN 1 AND 119", "''"),
+    ("meta-multiple", f"{_PAGE} AND meta_count > 1", "''"),
+    ("h1-missing", f"{_PAGE} AND h1_count = 0", "''"),
+    ("h1-multiple", f"{_PAGE} AND h1_count > 1", "''"),
+    ("h1-long", f"{_PAGE} AND h1_len > 70", "''"),
+    ("h2-missing", f"{_PAGE} AND h2_count = 0", "''"),
+    ("thin-content", f"{_PAGE} AND word_count < 300", "''"),
+    ("low-text-ratio", f"{_PAGE} AND text_ratio > 0 AND text_ratio < 0.1", "''"),
+    ("canonical-missing", f"{_PAGE} AND canonical_count = 0", "''"),
+    ("canonical-multiple", f"{_PAGE} AND canonical_count > 1", "''"),
+    ("canonical-other", f"{_PAGE} AND canonical <> '' AND ckey <> key", "canonical"),
+    ("lang-missing", f"{_PAGE} AND lang = ''", "''"),
+    ("images-no-alt", f"{_PAGE} AND images_noalt > 0", "''"),
+    ("slow-response", f"{_PAGE} AND response_ms > 3000", "''"),
+    ("moderate-response", f"{_PAGE} AND response_ms BETWEEN 1001 AND 3000", "''"),
+    ("large-page", f"{_PAGE} AND size_bytes > 3145728", "''"),
+    ("moderate-page", f"{_PAGE} AND size_bytes BETWEEN 1048577 AND 3145728", "''"),
+    ("noindex", f"{_PAGE} AND meta_robots LIKE 'noindex%'", "''"),
+    ("nofollow", f"{_PAGE} AND meta_robots = 'nofollow'", "''"),
+    ("robots-blocked", "status <> 0 AND robots_state = 'blocked'", "''"),
+]
+_OWN = " UNION ALL ".join(f"SELECT run_id, url_id, '{code}' AS code, '{S.CATEGORY[code]}' AS category, {S.SEVERITY[code]} AS severity, {detail} AS detail FROM k WHERE {when}" for code, when, detail in _ISSUE_RULES)
+
+
+def _finals(code: str, body: str) -> str:
+    return f" UNION ALL SELECT run_id, url_id, '{code}', '{S.CATEGORY[code]}', {S.SEVERITY[code]}, detail FROM ({body})"
+
+
+_KEYED = f", k AS (SELECT *, {key_sql('url')} AS key, CASE WHEN canonical = '' THEN NULL ELSE {key_sql('canonical')} END AS ckey FROM p)"
+_ORPHANS = "SELECT run_id, url_id, '' AS detail FROM p WHERE is_internal AND status_class = 2 AND discovered_by IN ('sitemap', 'manual') AND url_id NOT IN (SELECT dst_id FROM l)"
+_SOURCES = "SELECT DISTINCT l.run_id, src_id AS url_id, '' AS detail FROM l JOIN p ON p.url_id = l.dst_id WHERE p.is_internal AND p.status_class = 3"
+_IMAGES = "SELECT l.run_id, src_id AS url_id, min(p.url) AS detail FROM l JOIN p ON p.url_id = l.dst_id WHERE l.flags & 16 <> 0 AND (p.status >= 400 OR (p.status = 0 AND p.error_type NOT IN ('', 'file-too-large'))) GROUP BY ALL"
+_SQUASH = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_DUPES = ", d AS (" + " UNION ALL ".join(
+    f"SELECT run_id, '{kind}' AS kind, url_id, min(url_id) OVER w AS group_id, count(*) OVER w AS size FROM (SELECT run_id, url_id, {_SQUASH.format(col)} AS v FROM p WHERE {_PAGE} AND indexability = '') WHERE v <> '' WINDOW w AS (PARTITION BY v) QUALIFY count(*) OVER w > 1"
+    for kind, col in (("title", "title"), ("meta", "meta_desc"), ("h1", "h1"))
+) + ")"
+_ISSUES = _KEYED + _DUPES + f", i AS ({_OWN}{_finals('orphan-page', _ORPHANS)}{_finals('internal-redirect', _SOURCES)}{_finals('broken-image', _IMAGES)} UNION ALL SELECT run_id, url_id, kind || '-duplicate', 'seo', 2, size::VARCHAR FROM d)"
+_FULL = _ISSUES + """, f AS (
+  SELECT p.*, coalesce(a.n, 0) AS inlinks, coalesce(a.u, 0) AS inlinks_uniq, coalesce(b.i, 0) AS outlinks, coalesce(b.e, 0) AS outlinks_ext, coalesce(c.n, 0) AS issue_count, coalesce(c.s, 0) AS issue_max_sev,
+    p.url_id IN (SELECT url_id FROM i WHERE code = 'orphan-page') AS orphan, p.indexability = '' AS indexable
+  FROM p LEFT JOIN (SELECT dst_id, count(*) AS n, count(DISTINCT src_id) AS u FROM l GROUP BY 1) a ON a.dst_id = p.url_id
+  LEFT JOIN (SELECT src_id, count(*) FILTER (flags & 1 <> 0) AS i, count(*) FILTER (flags & 1 = 0) AS e FROM l GROUP BY 1) b ON b.src_id = p.url_id
+  LEFT JOIN (SELECT url_id, count(*) AS n, max(severity) AS s FROM i GROUP BY 1) c ON c.url_id = p.url_id
+)"""
+
+
+@query(" SELECT page_id, title, h1, lang, word_count::BIGINT AS words FROM p")
+def page_facts(spark, d):
+    return crawl(spark, d).pages.select("page_id", "title", "h1", "lang", F.col("word_count").cast("long").alias("words"))
+
+
+@query(f"""WITH u AS (SELECT page_id, url, {key_sql('url')} AS frontier_key, regexp_extract(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^([^:]*)', 1) AS host,
+  lower(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '\\.([^./]*)$', 1)) AS extension FROM pages)
+SELECT page_id, frontier_key, host, regexp_replace(host, '^www\\.', '') AS registrable, extension, regexp_extract(url, '^([^#]*)', 1) AS no_fragment FROM u""")
+def url_keys(spark, d):
+    u = F.col("url")
+    return read(spark, d, "pages").select("page_id", U.frontier_key(u).alias("frontier_key"), U.host(u).alias("host"), U.registrable_host(U.host(u)).alias("registrable"), U.url_extension(u).alias("extension"), F.substring_index(u, "#", 1).alias("no_fragment"))
+
+
+@query(_ISSUES + " SELECT * FROM i")
+def issues_all(spark, d):
+    return full(spark, d).issues
+
+
+@query(_ISSUES + ", t AS (SELECT count(*) AS n FROM p) SELECT run_id, code, severity, category, count(*) AS urls, round(count(*) * 100.0 / any_value(t.n), 6) AS pct FROM i, t GROUP BY run_id, code, severity, category")
+def issue_rows(spark, d):
+    return grid.issue_rows(full(spark, d)).withColumn("pct", F.round("pct", 6))
+
+
+@query(_ISSUES + " SELECT run_id, count(*) FILTER (severity = 3) AS critical, count(*) FILTER (severity = 2) AS warning, count(*) FILTER (severity = 1) AS notice, count(*) AS total FROM i GROUP BY run_id")
+def issue_tallies(spark, d):
+    return issues.tallies(full(spark, d).issues)
+
+
+@query(_FULL + " SELECT run_id, url_id, issue_count, issue_max_sev FROM f")
+def issue_counts(spark, d):
+    c = full(spark, d)
+    return c.pages.select("run_id", "url_id", "issue_count", "issue_max_sev")
+
+
+_SIDES = {"": "true", **{k: f"kind = '{k}'" for k in ("html", "css", "js", "pdf")}, "images": "kind = 'image'", "other": "kind IN ('other', 'font', 'media')", "indexable": "indexable", "nonIndexable": "NOT indexable", "orphan": "orphan", "issues": "issue_count > 0"}
+_TABS = {
+    "internal": ("is_internal", _SIDES), "external": ("NOT is_internal", _SIDES),
+    "response": ("true", {"": "true", "success": "status_class = 2", "redirect": "status_class = 3", "clientError": "status_class = 4", "serverError": "status_class = 5", "noResponse": "status = 0 AND error_type <> 'file-too-large'", "blocked": "robots_state = 'blocked'"}),
+    "titles": (_PAGE, {"": "true", "missing": "title = ''", "long": "title_len > 60", "short": "title_len BETWEEN 1 AND 29"}), "meta": (_PAGE, {"": "true", "missing": "meta_desc = ''", "long": "meta_desc_len > 160", "short": "meta_desc_len BETWEEN 1 AND 119"}),
+    "h1": (_PAGE, {"": "true", "missing": "h1_count = 0", "multiple": "h1_count > 1", "long": "h1_len > 70"}), "h2": (_PAGE, {"": "true", "missing": "h2_count = 0", "multiple": "h2_count > 1"}), "images": ("kind = 'image'", {"": "true"}),
+    "canonicals": (_PAGE, {"": "true", "missing": "canonical = ''", "self": "canonical <> '' AND indexability <> 'canonicalised'", "canonicalised": "indexability = 'canonicalised'"}),
+    "sitemaps": ("discovered_by = 'sitemap'", {"": "true", "orphan": "orphan", "nonIndexable": "NOT indexable"}),
+}
+
+
+@query(_FULL + " " + " UNION ALL ".join(f"SELECT '{t}' AS tab, '{f}' AS filter, count(*) AS n FROM f WHERE ({b}) AND ({w})" for t, (b, own) in _TABS.items() for f, w in own.items()))
+def grid_filters(spark, d):
+    return grid.filter_counts(full(spark, d))
+
+
+_FLAGS = "(is_internal::INT + indexable::INT * 2 + (issue_count > 0)::INT * 4 + orphan::INT * 16)"
+
+
+def _grid(name: str, where: str, order: str, rest: str, **kw):
+    sql = f"{_FULL} SELECT url_id, {_FLAGS} AS flags, url, status::VARCHAR AS status, title, title_len::VARCHAR AS \"titleLen\", inlinks::VARCHAR AS inlinks, '' AS nothing FROM f WHERE {where} ORDER BY {order} {rest}"
+
+    def run(spark, d):
+        return grid.rows(full(spark, d), cols=["url", "status", "title", "titleLen", "inlinks", "nothing"], **kw)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_grid("grid_internal_html", "is_internal AND kind = 'html'", "url_id", "LIMIT 100", filter="html")
+_grid("grid_titles_short_by_length", f"{_PAGE} AND title_len BETWEEN 1 AND 29", "title_len DESC, url_id DESC", "LIMIT 50 OFFSET 5", tab="titles", filter="short", sort="titleLen", desc=True, limit=50, offset=5)
+_grid("grid_by_inlinks", "true", "inlinks DESC, url_id DESC", "LIMIT 500", tab="response", sort="inlinks", desc=True, limit=9999)
+_grid("grid_directives_noindex", "is_internal AND kind = 'html' AND url_id IN (SELECT url_id FROM i WHERE code = 'noindex')", "url_id", "LIMIT 100", tab="directives", filter="noindex")
+_grid("grid_titles_duplicate", f"{_PAGE} AND url_id IN (SELECT url_id FROM d WHERE kind = 'title')", "url_id", "LIMIT 100", tab="titles", filter="duplicate")
+_grid("grid_any_issue", "is_internal AND url_id IN (SELECT url_id FROM i WHERE code = 'slow-response')", "url_id", "LIMIT 100", filter="issue:slow-response")
+_grid("grid_search", "is_internal AND len(list_filter(regexp_split_to_array(lower(url || ' ' || title || ' ' || meta_desc), '[^\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'th'))) > 0 AND len(list_filter(regexp_split_to_array(lower(url || ' ' || title || ' ' || meta_desc), '[^\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'en'))) > 0", "url_id", "LIMIT 100", search="th en")
+
+
+@query(_FULL + """, g AS (SELECT CASE WHEN is_internal THEN 'internal' ELSE 'external' END AS side, CASE WHEN kind = 'image' THEN 'images' WHEN kind IN ('font', 'media') THEN 'other' ELSE kind END AS k,
+  CASE status_class WHEN 2 THEN 'success' WHEN 3 THEN 'redirect' WHEN 4 THEN 'clientError' WHEN 5 THEN 'serverError' ELSE 'noResponse' END AS b, * FROM f)
+, x AS (SELECT side AS facet FROM g UNION ALL SELECT side || '.' || k FROM g UNION ALL SELECT 'images' FROM g WHERE k = 'images' UNION ALL SELECT 'response' FROM g UNION ALL SELECT 'response.' || b FROM g
+  UNION ALL SELECT side || CASE WHEN indexable THEN '.indexable' ELSE '.nonIndexable' END FROM g UNION ALL SELECT 'sitemaps.orphan' FROM g WHERE orphan UNION ALL SELECT side || '.issues' FROM g WHERE issue_count > 0
+  UNION ALL SELECT 'links' FROM l UNION ALL SELECT 'links.internal' FROM l WHERE flags & 1 <> 0 UNION ALL SELECT 'links.external' FROM l WHERE flags & 1 = 0 UNION ALL SELECT 'links.nofollow' FROM l WHERE flags & 2 <> 0
+  UNION ALL SELECT 'issue.' || code FROM i)
+SELECT 'r1' AS run_id, facet, count(*) AS n FROM x GROUP BY facet""")
+def facets(spark, d):
+    return grid.facets(full(spark, d))
+
+
+_LINK_COLS = "l.src_id, l.seq, a.url AS src_url, b.url AS dst_url, l.anchor, l.placement, l.flags, p.status"
+
+
+@query(f" SELECT {_LINK_COLS} FROM l JOIN pages a ON a.page_id + 1 = l.src_id JOIN pages b ON b.page_id + 1 = l.dst_id JOIN p ON p.url_id = l.dst_id WHERE l.flags & 2 <> 0 ORDER BY src_id, seq LIMIT 200")
+def links_nofollow(spark, d):
+    return grid.links(crawl(spark, d), "nofollow", limit=200)
+
+
+
+
+def _first_url(spark, d) -> str:
+    return read(spark, d, "pages").where("page_id = 1").select("url").first()[0]
+
+
+@query(" SELECT p.url, l.anchor, l.placement, l.flags, p.status, p.url_id, l.seq FROM l JOIN p ON p.url_id = l.src_id WHERE l.dst_id = 2 ORDER BY l.seq, p.url_id LIMIT 500")
+def inlinks_of_page(spark, d):
+    return grid.inlinks(crawl(spark, d), _first_url(spark, d))
+
+
+@query(" SELECT p.url, l.anchor, l.placement, l.flags, p.status, p.url_id, l.seq FROM l JOIN p ON p.url_id = l.dst_id WHERE l.src_id = 2 ORDER BY l.seq, p.url_id LIMIT 500")
+def outlinks_of_page(spark, d):
+    return grid.outlinks(crawl(spark, d), _first_url(spark, d))
+
+
+_NODES = ", n AS (SELECT url_id FROM f ORDER BY inlinks DESC, url_id LIMIT 60)"
+
+
+@query(_FULL + _NODES + " SELECT src_id, dst_id FROM (SELECT src_id, dst_id, min(seq) AS seq FROM l WHERE src_id <> dst_id AND src_id IN (SELECT url_id FROM n) AND dst_id IN (SELECT url_id FROM n) GROUP BY ALL) ORDER BY src_id, seq, dst_id LIMIT 15000")
+def graph_edges(spark, d):
+    return grid.graph_edges(full(spark, d), 60)
+
+
+@query(_FULL + " SELECT run_id, url_id, url, inlinks, depth, status FROM f ORDER BY inlinks DESC, url_id LIMIT 60")
+def graph_nodes(spark, d):
+    return grid.graph_nodes(full(spark, d), 60)
+
+
+@query(_FULL + f" SELECT url_id, url, title, inlinks FROM f WHERE {_PAGE} AND indexable AND (contains(lower(url), 'en') OR contains(lower(title), 'en') OR contains(lower(meta_desc), 'en') OR contains(lower(h1), 'en') OR contains(lower(h2), 'en')) AND regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') = (SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') FROM pages WHERE page_id = 1) ORDER BY inlinks DESC, url_id LIMIT 20")
+def local_lookup(spark, d):
+    from urllib.parse import urlsplit
+
+    return grid.lookup_local(full(spark, d), "EN", urlsplit(_first_url(spark, d)).hostname)
+
+
+@query(" SELECT p.run_id, p.url_id, coalesce(count(l.src_id), 0) AS inlinks, count(DISTINCT l.src_id) AS inlinks_uniq FROM p LEFT JOIN l ON l.dst_id = p.url_id GROUP BY ALL")
+def inlinks(spark, d):
+    return finalize.inlinks(crawl(spark, d))
+
+
+def _final(name: str, f, body: str) -> None:
+    def run(spark, d):
+        return f(crawl(spark, d)).select("url_id", "detail")
+
+    run.__name__ = name
+    query(f" SELECT url_id, detail FROM ({body})")(run)
+
+
+_final("orphans", finalize.orphans, _ORPHANS)
+_final("redirect_sources", finalize.redirect_sources, _SOURCES)
+_final("broken_images", finalize.broken_images, _IMAGES)
+
+_ONE_KEY = _KEYED + ", t AS (SELECT * FROM (SELECT key, url, status, indexability = '' AS indexable, canonical, ckey, row_number() OVER (PARTITION BY key ORDER BY url_id DESC) AS r FROM k) WHERE r = 1), s AS (SELECT url_id, key AS own, ckey AS key FROM k WHERE is_internal AND canonical <> '' AND ckey <> key)"
+
+
+@query(_ONE_KEY + " SELECT s.url_id, CASE WHEN t.status NOT BETWEEN 200 AND 299 THEN 'canonical-to-non-200' ELSE 'canonical-to-noindex' END AS code, t.url AS detail FROM s JOIN t ON t.key = s.key WHERE t.status NOT BETWEEN 200 AND 299 OR NOT t.indexable")
+def canonical_targets(spark, d):
+    return finalize.canonical_targets(crawl(spark, d)).select("url_id", "code", "detail")
+
+
+@query("WITH RECURSIVE " + CRAWL_SQL.lstrip() + _ONE_KEY + """, w AS (
+  SELECT s.url_id, s.key, [s.own, s.key] AS seen, -1 AS hop, NULL AS code, NULL AS detail FROM s WHERE s.key IN (SELECT key FROM t)
+  UNION ALL
+  SELECT w.url_id, t.ckey, list_append(w.seen, t.ckey), w.hop + 1, CASE WHEN list_contains(w.seen, t.ckey) THEN 'canonical-loop' ELSE 'canonical-chain' END, CASE WHEN list_contains(w.seen, t.ckey) THEN t.url ELSE t.canonical END
+  FROM w JOIN t ON t.key = w.key WHERE t.ckey IS NOT NULL AND t.ckey <> t.key AND coalesce(w.code, '') <> 'canonical-loop' AND w.hop + 1 < 5
+) SELECT url_id, code, arg_max(detail, hop) AS detail FROM w WHERE code IS NOT NULL GROUP BY url_id, code""")
+def canonical_walks(spark, d):
+    return finalize.canonical_walks(crawl(spark, d)).select("url_id", "code", "detail")
+
+
+def _with_alternates(c: Crawl, spark, d) -> Crawl:
+    """Pages with one or two alternates by arithmetic: their own, and the next page."""
+    raw = read(spark, d, "pages").select(F.col("page_id").alias("_next"), F.col("url").alias("_next_url"))
+    n = raw.count()
+    i = F.col("page_id")
+    pages = c.pages.withColumn("_next", (i + F.when(i % 2 == 0, 1).otherwise(-1) + n) % n).join(raw, "_next")
+    alt = lambda lang, url: F.struct(lang.alias("lang"), url.alias("url"))
+    code = F.when(i % 10 == 3, "english").otherwise("en")
+    own, other = alt(code, F.col("url")), alt(F.lit("vi"), F.col("_next_url"))
+    none = F.array().cast("array<struct<lang:string,url:string>>")
+    return replace(c, pages=pages.withColumn("hreflang", F.when(i % 5 == 4, none).when(i % 7 == 5, F.array(other)).when(i % 6 == 1, F.array(own)).otherwise(F.array(own, other))))
+
+
+@query(_KEYED + """, t AS (SELECT * FROM (SELECT key, url, status, ckey, row_number() OVER (PARTITION BY key ORDER BY url_id DESC) AS r FROM k) WHERE r = 1),
+h AS (SELECT k.url_id, k.key AS own, unnest(CASE WHEN k.page_id % 5 = 4 THEN [] WHEN k.page_id % 7 = 5 THEN [{'lang': 'vi', 'url': x.url}] WHEN k.page_id % 6 = 1 THEN [{'lang': CASE WHEN k.page_id % 10 = 3 THEN 'english' ELSE 'en' END, 'url': k.url}]
+  ELSE [{'lang': CASE WHEN k.page_id % 10 = 3 THEN 'english' ELSE 'en' END, 'url': k.url}, {'lang': 'vi', 'url': x.url}] END) AS a
+  FROM k JOIN pages x ON x.page_id = (k.page_id + CASE WHEN k.page_id % 2 = 0 THEN 1 ELSE -1 END + k.n) % k.n WHERE k.is_internal AND k.kind = 'html' AND k.status_class = 2),
+""" + f"e AS (SELECT url_id, own, lang, {key_sql('alt')} AS key FROM (SELECT url_id, own, a.lang AS lang, a.url AS alt FROM h))" + """, j AS (SELECT e.*, t.url AS turl, t.status AS tstatus, t.ckey AS tckey, t.key AS tkey FROM e LEFT JOIN t ON t.key = e.key)
+SELECT url_id, 'hreflang-invalid-code' AS code, max(lang) AS detail FROM j WHERE lang = 'english' GROUP BY 1
+UNION ALL SELECT url_id, 'hreflang-to-non-200', max(turl) FROM j WHERE key <> own AND tstatus NOT BETWEEN 200 AND 299 GROUP BY 1
+UNION ALL SELECT url_id, 'hreflang-non-canonical', max(turl) FROM j WHERE key <> own AND tstatus BETWEEN 200 AND 299 AND tckey IS NOT NULL AND tckey <> tkey GROUP BY 1
+UNION ALL SELECT url_id, 'hreflang-no-return-tag', max(turl) FROM j WHERE key <> own AND tstatus BETWEEN 200 AND 299 AND key IN (SELECT own FROM e) AND NOT EXISTS (SELECT 1 FROM e b WHERE b.own = j.key AND b.key = j.own) GROUP BY 1
+UNION ALL SELECT url_id, 'hreflang-missing-self', '' FROM e GROUP BY url_id HAVING NOT bool_or(key = own)""")
+def hreflang(spark, d):
+    return finalize.hreflang(_with_alternates(crawl(spark, d), spark, d)).select("url_id", "code", "detail")
+
+
+@query(_DUPES + " SELECT run_id, kind, group_id, url_id, size FROM d")
+def exact_duplicates(spark, d):
+    return duplicates.exact(crawl(spark, d))
+
+
+@query()
+def near_duplicates(spark, d):
+    return duplicates.near_groups(crawl(spark, d))
+
+
+@query(f"WITH t AS (SELECT doc_id, {_SQUASH.format('text')} AS v FROM documents) SELECT min(doc_id) OVER w AS group_id, doc_id, count(*) OVER w AS size FROM t WINDOW w AS (PARTITION BY v) QUALIFY count(*) OVER w > 1")
+def duplicate_documents(spark, d):
+    from crawlquilt.functions.text import norm
+
+    each = read(spark, d, "documents").select("doc_id", F.sha2(norm("text"), 256).alias("v"))
+    groups = each.groupBy("v").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("size")).where("size > 1")
+    return each.join(groups, "v").select("group_id", "doc_id", "size")
+
+
+# Measurements by arithmetic on line items: an order is a page, a line number an audit.
+def _psi(spark, d) -> Crawl:
+    c = full(spark, d)
+    items = read(spark, d, "lineitem")
+    opps = items.select(F.lit("r1").alias("run_id"), F.col("l_orderkey").cast("string").alias("url"), F.lit("mobile").alias("strategy"), F.concat(F.lit("audit-"), F.col("l_linenumber").cast("string")).alias("audit_id"), F.concat(F.lit("Audit "), F.col("l_linenumber").cast("string"), F.col("l_returnflag")).alias("title"), (F.col("l_quantity") * 10).cast("long").alias("savings_ms"), F.col("l_extendedprice").cast("long").alias("savings_bytes"))
+    i = F.col("url_id")
+    psi = c.pages.where(i % 3 == 0).select("run_id", "url", F.lit("mobile").alias("strategy"), (i % 101).cast("int").alias("score"), F.when(i % 4 == 0, "failed").otherwise("").alias("error"), F.lit("2026-01-01").alias("fetched_at"))
+    return replace(c, psi=psi, psi_opps=opps)
+
+
+@query("WITH o AS (SELECT 'r1' AS run_id, 'audit-' || l_linenumber AS audit_id, 'Audit ' || l_linenumber || l_returnflag AS title, trunc(l_quantity * 10)::BIGINT AS ms, trunc(l_extendedprice)::BIGINT AS b FROM lineitem) SELECT run_id, audit_id, max(title) AS title, count(*) AS pages, sum(ms)::BIGINT AS savings_ms, sum(b)::BIGINT AS savings_bytes FROM o GROUP BY ALL")
+def psi_opportunities(spark, d):
+    return pagespeed.opportunities(_psi(spark, d))
+
+
+@query("WITH o AS (SELECT 'r1' AS run_id, l_orderkey::VARCHAR AS url, 'mobile' AS strategy, trunc(l_quantity * 10)::BIGINT AS savings_ms, trunc(l_extendedprice)::BIGINT AS savings_bytes FROM lineitem WHERE l_linenumber = 3) SELECT * FROM o ORDER BY savings_ms DESC, savings_bytes DESC, url, strategy LIMIT 1000")
+def psi_opportunity_pages(spark, d):
+    return pagespeed.opportunity_pages(_psi(spark, d), "audit-3")
+
+
+@query(_FULL + f" SELECT run_id, url_id, url, inlinks, depth FROM f WHERE {_PAGE} AND NOT (url_id % 3 = 0 AND url_id % 4 <> 0)")
+def psi_pending(spark, d):
+    return pagespeed.pending(_psi(spark, d), "mobile")
+
+
+@query(_FULL + f" SELECT run_id, count(*) AS measurable, count(*) FILTER (url_id % 3 = 0 AND url_id % 4 <> 0) AS measured, count(*) FILTER (NOT (url_id % 3 = 0 AND url_id % 4 <> 0)) AS pending FROM f WHERE {_PAGE} GROUP BY run_id")
+def psi_progress(spark, d):
+    return pagespeed.progress(_psi(spark, d), "mobile")
+
+
+_BFS = """, r AS (SELECT 2::BIGINT AS id, 0 AS depth UNION SELECT l.dst_id, r.depth + 1 FROM r JOIN l ON l.src_id = r.id WHERE r.depth < 4)"""
+
+
+@query("WITH RECURSIVE " + CRAWL_SQL.lstrip() + _BFS + " SELECT id, min(depth) AS depth FROM r GROUP BY id")
+def crawl_depths(spark, d):
+    c = crawl(spark, d)
+    return frontier.depths(c.urls.where("id = 2").select("id"), c.links, 4)
+
 
-FLAGSHIP = "page_hosts"
+@query(f"""{_KEYED}, e AS (SELECT k.key, k.url, k.depth, k.url_id AS seq, regexp_replace(lower(regexp_extract(k.url, '://([^/?#:]*)', 1)), '^www\\.', '') AS h, lower(regexp_extract(regexp_extract(k.url, '://[^/?#]*([^?#]*)', 1), '\\.([^./]*)$', 1)) AS ext FROM k),
+o AS (SELECT *, CASE WHEN depth > 3 THEN 'max-depth' WHEN NOT ends_with(h, 'example.com') THEN 'external' WHEN ext = 'pdf' THEN 'extension' WHEN contains(url, '/de/') THEN 'pattern' END AS own FROM e),
+s AS (SELECT key, min(seq) AS first, min(CASE WHEN own IS NULL THEN seq END) AS queued FROM o GROUP BY key), m AS (SELECT *, row_number() OVER (ORDER BY first) AS id FROM s)
+SELECT o.url, o.depth, o.seq, o.key, CASE WHEN m.id > 200 THEN 0 ELSE m.id END AS id, CASE WHEN m.id > 200 THEN 'url-cap' WHEN o.seq > coalesce(m.queued, 1::BIGINT << 62) THEN 'queued-before' ELSE own END AS decline_reason FROM o JOIN m ON m.key = o.key""")
+def frontier_admission(spark, d):
+    offers = crawl(spark, d).pages.select("url", "depth", F.col("url_id").alias("seq"))
+    return frontier.admission(offers, "example.com", max_depth=3, max_urls=200, subdomains=True, exclude_ext=["pdf"], exclude=["/de/"])
 
 
-def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+@query(" SELECT run_id, CASE WHEN robots_state = 'blocked' THEN 'blocked' WHEN status_class = 2 THEN 'success' WHEN status_class = 3 THEN 'redirect' WHEN status_class = 4 THEN 'clientError' WHEN status_class = 5 THEN 'serverError' ELSE 'noResponse' END AS bucket, count(*) AS n FROM p GROUP BY ALL")
+def status_tally(spark, d):
+    return frontier.status_tally(crawl(spark, d).pages)
 
 
-QUERIES = {"page_hosts": page_hosts}
-ORACLE_SQL = {"page_hosts": "SELECT page_id, url FROM pages"}
+@query(f" SELECT run_id, url_id, url FROM p WHERE {_PAGE} AND redirect_hops = 0 AND contains(url, '/en/') ORDER BY url_id LIMIT 30")
+def render_selection(spark, d):
+    return frontier.render_selection(crawl(spark, d).pages, "/en/", 30)

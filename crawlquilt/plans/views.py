@@ -46,19 +46,20 @@ def page_table(raw: DataFrame, n: int) -> DataFrame:
         (i % 4).cast("int").alias("h2_count"),
         case(i % 19 == 0, "noindex, follow", case(i % 21 == 0, "nofollow", "")).alias("meta_robots"),
         F.lit("").alias("x_robots"),
+        F.lit(False).alias("rendered"),
         case(i % 37 == 0, "blocked", "allowed").alias("robots_state"),
         F.when(i % 8 == 0, "sitemap").when(i == 1, "seed").otherwise("link").alias("discovered_by"),
         (i % 5).cast("int").alias("images_count"),
         (i % 3).cast("int").alias("images_noalt"),
         (((i * 7) % 100) / 100.0).alias("text_ratio"),
-        ((i * 3 + 1) % n).alias("_target"),
+        F.least(F.when(i % 27 == 1, i + 9).when(i % 27 == 10, i + 9).when(i % 27 == 19, i - 18).otherwise(i), F.lit(n - 1)).alias("_target"),
     )
     target = raw.select(F.col("page_id").alias("_target"), F.col("url").alias("_target_url"))
     known = facts.join(target, "_target").withColumns({
         "status_class": F.expr("cast(status div 100 as int)"),
         "error_type": F.when(F.col("status") != 0, "").when(i % 2 == 0, "timeout").otherwise("dns-not-found"),
         "meta_desc": F.when(i % 5 == 0, "").otherwise(F.trim(F.left(F.repeat(F.concat(F.col("title"), F.lit(" ")), F.lit(4)), ((i * 13) % 200).cast("int")))),
-        "canonical": F.when(i % 9 == 0, "").when(i % 9 == 1, F.col("_target_url")).otherwise(F.col("url")),
+        "canonical": F.when(i % 9 == 0, "").when((i % 27 == 19) & (i % 2 == 1), F.col("url")).when(i % 9 == 1, F.col("_target_url")).otherwise(F.col("url")),
         "redirect_to": F.when(F.col("status") == 301, "https://example.com/next").otherwise(""),
         "redirect_hops": F.when(F.col("status") == 301, (i % 3).cast("int")).otherwise(0),
     })
@@ -78,7 +79,7 @@ def page_table(raw: DataFrame, n: int) -> DataFrame:
 
 def links(raw: DataFrame, n: int) -> DataFrame:
     i, k = F.col("page_id"), F.col("k")
-    edges = raw.select("page_id", F.explode(F.sequence(F.lit(1), F.lit(EDGES))).alias("k")).withColumn("_dst", (i * 31 + k * k * 7) % n)
+    edges = raw.select("page_id", F.explode(F.sequence(F.lit(1), F.lit(EDGES))).alias("k")).withColumn("_x", (i * 31 + k * k * 7) % n).withColumn("_dst", F.when(F.col("_x") % 8 == 0, (F.col("_x") + 1) % n).otherwise(F.col("_x")))
     flags = F.when(F.col("_dst") % 7 != 0, 1).otherwise(0) + F.when((i + k) % 10 == 0, 2).otherwise(0) + F.when(k == EDGES, 16).otherwise(0)
     return edges.select(
         F.lit(RUN).alias("run_id"), (i + 1).alias("src_id"), (F.col("_dst") + 1).alias("dst_id"), k.alias("seq"),
@@ -101,14 +102,14 @@ facts AS (
     CASE WHEN page_id % 19 = 0 THEN 'noindex, follow' WHEN page_id % 21 = 0 THEN 'nofollow' ELSE '' END AS meta_robots, '' AS x_robots,
     CASE WHEN page_id % 37 = 0 THEN 'blocked' ELSE 'allowed' END AS robots_state,
     CASE WHEN page_id % 8 = 0 THEN 'sitemap' WHEN page_id = 1 THEN 'seed' ELSE 'link' END AS discovered_by,
-    page_id % 5 AS images_count, page_id % 3 AS images_noalt, ((page_id * 7) % 100) / 100.0 AS text_ratio, (page_id * 3 + 1) % n AS target
+    page_id % 5 AS images_count, page_id % 3 AS images_noalt, ((page_id * 7) % 100) / 100.0 AS text_ratio, least(CASE page_id % 27 WHEN 1 THEN page_id + 9 WHEN 10 THEN page_id + 9 WHEN 19 THEN page_id - 18 ELSE page_id END, n - 1) AS target
   FROM raw
 ),
 known AS (
   SELECT f.*, t.url AS target_url, f.status // 100 AS status_class,
     CASE WHEN f.status <> 0 THEN '' WHEN f.page_id % 2 = 0 THEN 'timeout' ELSE 'dns-not-found' END AS error_type,
     CASE WHEN f.page_id % 5 = 0 THEN '' ELSE trim(substr(repeat(title || ' ', 4), 1, ((f.page_id * 13) % 200)::INT)) END AS meta_desc,
-    CASE WHEN f.page_id % 9 = 0 THEN '' WHEN f.page_id % 9 = 1 THEN t.url ELSE f.url END AS canonical,
+    CASE WHEN f.page_id % 9 = 0 THEN '' WHEN f.page_id % 27 = 19 AND f.page_id % 2 = 1 THEN f.url WHEN f.page_id % 9 = 1 THEN t.url ELSE f.url END AS canonical,
     CASE WHEN f.status = 301 THEN 'https://example.com/next' ELSE '' END AS redirect_to, CASE WHEN f.status = 301 THEN f.page_id % 3 ELSE 0 END AS redirect_hops
   FROM facts f JOIN pages t ON t.page_id = f.target
 ),
@@ -123,10 +124,11 @@ p AS (
       WHEN status_class <> 2 THEN 'non-200' WHEN page_id % 9 = 1 AND {{other}} THEN 'canonicalised' ELSE '' END AS indexability
   FROM known
 ),
+e AS (SELECT *, CASE WHEN x % 8 = 0 THEN (x + 1) % n ELSE x END AS dst FROM (SELECT page_id, n, k, (page_id * 31 + k * k * 7) % n AS x FROM raw, range(1, {EDGES + 1}) AS r(k))),
 l AS (
-  SELECT '{RUN}' AS run_id, page_id + 1 AS src_id, (page_id * 31 + k * k * 7) % n + 1 AS dst_id, k AS seq, CASE WHEN k = {EDGES} THEN 4 ELSE (page_id + k) % 4 END AS placement,
-    CASE WHEN ((page_id * 31 + k * k * 7) % n) % 7 <> 0 THEN 1 ELSE 0 END + CASE WHEN (page_id + k) % 10 = 0 THEN 2 ELSE 0 END + CASE WHEN k = {EDGES} THEN 16 ELSE 0 END AS flags, 'link ' || k AS anchor
-  FROM raw, range(1, {EDGES + 1}) AS r(k)
+  SELECT '{RUN}' AS run_id, page_id + 1 AS src_id, dst + 1 AS dst_id, k AS seq, CASE WHEN k = {EDGES} THEN 4 ELSE (page_id + k) % 4 END AS placement,
+    CASE WHEN dst % 7 <> 0 THEN 1 ELSE 0 END + CASE WHEN (page_id + k) % 10 = 0 THEN 2 ELSE 0 END + CASE WHEN k = {EDGES} THEN 16 ELSE 0 END AS flags, 'link ' || k AS anchor
+  FROM e
 )"""
 
 # Parameters that only track visits.
@@ -145,4 +147,4 @@ def key_sql(url: str) -> str:
     return f"({scheme} || '://' || ({host}) || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END)"
 
 
-CRAWL_SQL = CRAWL_SQL.format(other=f"{key_sql('canonical')} <> {key_sql('url')}")
+CRAWL_SQL = CRAWL_SQL.replace("{other}", f"{key_sql('canonical')} <> {key_sql('url')}")
