@@ -14,6 +14,7 @@ from crawlquilt import schema as S
 from crawlquilt.functions.text import valid_lang_code
 from crawlquilt.functions.urls import frontier_key
 from crawlquilt.schema import Crawl
+from crawlquilt.sources.store import with_checkpoints
 
 
 def _issue(code: str, detail: Column | None = None) -> list[Column]:
@@ -71,8 +72,9 @@ def canonical_walks(crawl: Crawl, hops: int = S.MAX_REDIRECTS) -> DataFrame:
     """Canonicals that lead on: each further hop is a chain (the detail is the last hop's
     target), a key seen before a loop (the detail is the page that closes it). The
     fixed number of hops is unrolled as joins on the key."""
-    table = keyed(crawl.pages)
-    start = _canonical_starts(crawl).join(table.select("run_id", "key"), ["run_id", "key"], "left_semi")
+    with_checkpoints(crawl.pages.sparkSession)
+    table = keyed(crawl.pages).checkpoint()  # each hop joins it
+    start = _canonical_starts(crawl).join(table.select("run_id", "key"), ["run_id", "key"], "left_semi").checkpoint()
     walk = start.select("run_id", "url_id", "key", F.array("own", "key").alias("seen"))
     out = []
     for hop in range(hops):

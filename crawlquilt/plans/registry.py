@@ -260,7 +260,7 @@ def canonical_targets(spark, d):
 
 
 @query("WITH RECURSIVE " + CRAWL_SQL.lstrip() + _ONE_KEY + """, w AS (
-  SELECT s.url_id, s.key, [s.own, s.key] AS seen, -1 AS hop, NULL AS code, NULL AS detail FROM s WHERE s.key IN (SELECT key FROM t)
+  SELECT s.url_id, s.key, [s.own, s.key] AS seen, -1 AS hop, NULL::VARCHAR AS code, NULL::VARCHAR AS detail FROM s WHERE s.key IN (SELECT key FROM t)
   UNION ALL
   SELECT w.url_id, t.ckey, list_append(w.seen, t.ckey), w.hop + 1, CASE WHEN list_contains(w.seen, t.ckey) THEN 'canonical-loop' ELSE 'canonical-chain' END, CASE WHEN list_contains(w.seen, t.ckey) THEN t.url ELSE t.canonical END
   FROM w JOIN t ON t.key = w.key WHERE t.ckey IS NOT NULL AND t.ckey <> t.key AND coalesce(w.code, '') <> 'canonical-loop' AND w.hop + 1 < 5
@@ -371,3 +371,65 @@ def status_tally(spark, d):
 @query(f" SELECT run_id, url_id, url FROM p WHERE {_PAGE} AND redirect_hops = 0 AND contains(url, '/en/') ORDER BY url_id LIMIT 30")
 def render_selection(spark, d):
     return frontier.render_selection(crawl(spark, d).pages, "/en/", 30)
+
+
+def _audit(spark, d):
+    """Observations of the crawl, and policies by arithmetic on the page."""
+    from crawlquilt.operators import evidence
+
+    c = crawl(spark, d)
+    i = F.col("url_id")
+    policy = lambda key, value, when: c.pages.where(when).select("run_id", F.lit(key).alias("policy_key"), F.lit(value).alias("policy_value"), F.lit("URL").alias("scope"), evidence.url_ref().alias("target_ref"), F.concat(F.lit(key + ":"), i.cast("string")).alias("policy_assignment_id"))
+    policies = policy("expected_indexable", "true", i % 2 == 0).unionByName(policy("expected_url_state", "live", i % 3 == 0)).unionByName(policy("priority_page", "true", i % 50 == 0)).unionByName(policy("expected_crawlable", "true", i % 4 == 0))
+    entries = c.pages.where(F.col("discovered_by") == "sitemap").select("run_id", F.lit(1).alias("sitemap_id"), i.alias("seq"), F.col("url").alias("loc"))
+    return evidence.freeze([evidence.url_observations(c), evidence.link_observations(c), evidence.entry_observations(entries, c)], "s1"), policies
+
+
+_AUDITED = ["AR-ACC-002", "AR-ACC-004", "AR-INDEX-001", "AR-CANON-003", "AR-CANON-004", "AR-LINK-002", "AR-LINK-003", "AR-LINK-004", "AR-LINK-005", "AR-LINK-006", "AR-DISC-004", "AR-DISC-005"]
+_AUDIT_SQL = """, a AS (SELECT dst_id, count(*) AS n FROM l WHERE flags & 16 = 0 AND flags & 1 <> 0 GROUP BY 1), u AS (SELECT p.*, coalesce(a.n, 0) AS links_in, kind = 'html' AND status_class = 2 AS ok,
+  CASE WHEN robots_state = 'blocked' AND status = 0 AND error_type = '' THEN NULL ELSE status END AS seen FROM p LEFT JOIN a ON a.dst_id = p.url_id),
+v AS (SELECT l.*, t.seen AS target, t.url AS target_url FROM l JOIN u t ON t.url_id = l.dst_id WHERE l.flags & 16 = 0),
+r AS (
+  SELECT 'AR-ACC-002' AS rule_id, CASE WHEN url_id % 4 <> 0 THEN 'NOT_APPLICABLE' WHEN robots_state = 'blocked' THEN 'FAIL' ELSE 'PASS' END AS status FROM u
+  UNION ALL SELECT 'AR-ACC-004', CASE WHEN seen IS NULL THEN 'UNKNOWN' WHEN seen BETWEEN 500 AND 599 THEN 'FAIL' ELSE 'PASS' END FROM u
+  UNION ALL SELECT 'AR-INDEX-001', CASE WHEN url_id % 2 <> 0 THEN 'NOT_APPLICABLE' WHEN NOT ok THEN 'UNKNOWN' WHEN meta_robots LIKE 'noindex%' THEN 'FAIL' ELSE 'PASS' END FROM u
+  UNION ALL SELECT 'AR-CANON-003', CASE WHEN seen IS NULL THEN 'UNKNOWN' WHEN seen NOT BETWEEN 200 AND 299 THEN 'NOT_APPLICABLE' WHEN ok AND canonical <> '' THEN 'PASS' WHEN NOT ok THEN 'UNKNOWN' ELSE 'WARNING' END FROM u
+  UNION ALL SELECT 'AR-CANON-004', CASE WHEN NOT ok THEN 'UNKNOWN' WHEN canonical_count = 0 THEN 'NOT_APPLICABLE' WHEN canonical_count = 1 THEN 'PASS' ELSE 'WARNING' END FROM u
+  UNION ALL SELECT 'AR-LINK-00' || (c - 1), CASE WHEN flags & 1 = 0 THEN 'NOT_APPLICABLE' WHEN target IS NULL OR target NOT BETWEEN 100 AND 599 THEN 'UNKNOWN' WHEN target // 100 = c THEN 'FAIL' ELSE 'PASS' END FROM v, range(3, 6) AS x(c)
+  UNION ALL SELECT 'AR-LINK-005', CASE WHEN discovered_by <> 'sitemap' THEN 'NOT_APPLICABLE' WHEN url_id = 1 THEN 'NOT_APPLICABLE' WHEN links_in > 0 THEN 'PASS' ELSE 'WARNING' END FROM u
+  UNION ALL SELECT 'AR-LINK-006', CASE WHEN url_id % 50 <> 0 THEN 'NOT_APPLICABLE' ELSE 'MANUAL_REVIEW' END FROM u
+  UNION ALL SELECT 'AR-DISC-004', CASE WHEN seen = 200 THEN 'PASS' WHEN seen BETWEEN 300 AND 599 THEN 'FAIL' ELSE 'UNKNOWN' END FROM u WHERE discovered_by = 'sitemap'
+  UNION ALL SELECT 'AR-DISC-005', CASE WHEN error_type <> '' THEN 'NOT_APPLICABLE' WHEN seen IS NULL OR seen <= 0 THEN 'UNKNOWN' WHEN seen <> 200 THEN 'NOT_APPLICABLE' WHEN kind <> 'html' THEN 'UNKNOWN' WHEN meta_robots LIKE 'noindex%' THEN 'FAIL' ELSE 'PASS' END FROM u WHERE discovered_by = 'sitemap'
+)"""
+
+
+@query(_AUDIT_SQL + " SELECT rule_id, status, count(*) AS n FROM r GROUP BY ALL")
+def audit_rules(spark, d):
+    from crawlquilt.operators import rules
+
+    found, policies = _audit(spark, d)
+    return rules.evaluate(found, policies, rules=_AUDITED).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
+
+
+@query(_AUDIT_SQL + " SELECT 'r1' AS run_id, rule_id, status, count(*) AS affected FROM r WHERE status IN ('FAIL', 'WARNING', 'MANUAL_REVIEW') GROUP BY ALL")
+def audit_findings(spark, d):
+    from crawlquilt.operators import rules
+
+    found, policies = _audit(spark, d)
+    return rules.findings(rules.evaluate(found, policies, rules=_AUDITED)).select("run_id", "rule_id", "status", "affected")
+
+
+@query()
+def audit_all(spark, d):
+    from crawlquilt.operators import rules
+
+    found, policies = _audit(spark, d)
+    return rules.evaluate(found, policies).drop("evidence")
+
+
+@query()
+def html_documents(spark, d):
+    from crawlquilt.sources import html
+
+    docs = html.facts(html.documents(read(spark, d, "pages").select("page_id", "url", "html")))
+    return docs.select("page_id", "title", "h1", "lang", "charset", "word_count", F.round("text_ratio", 6).alias("text_ratio"), F.size("anchors").alias("anchors"), F.size("images").alias("images"))

@@ -124,11 +124,11 @@ p AS (
       WHEN status_class <> 2 THEN 'non-200' WHEN page_id % 9 = 1 AND {{other}} THEN 'canonicalised' ELSE '' END AS indexability
   FROM known
 ),
-e AS (SELECT *, CASE WHEN x % 8 = 0 THEN (x + 1) % n ELSE x END AS dst FROM (SELECT page_id, n, k, (page_id * 31 + k * k * 7) % n AS x FROM raw, range(1, {EDGES + 1}) AS r(k))),
+edge AS (SELECT *, CASE WHEN x % 8 = 0 THEN (x + 1) % n ELSE x END AS dst FROM (SELECT page_id, n, k, (page_id * 31 + k * k * 7) % n AS x FROM raw, range(1, {EDGES + 1}) AS r(k))),
 l AS (
   SELECT '{RUN}' AS run_id, page_id + 1 AS src_id, dst + 1 AS dst_id, k AS seq, CASE WHEN k = {EDGES} THEN 4 ELSE (page_id + k) % 4 END AS placement,
     CASE WHEN dst % 7 <> 0 THEN 1 ELSE 0 END + CASE WHEN (page_id + k) % 10 = 0 THEN 2 ELSE 0 END + CASE WHEN k = {EDGES} THEN 16 ELSE 0 END AS flags, 'link ' || k AS anchor
-  FROM e
+  FROM edge
 )"""
 
 # Parameters that only track visits.
