@@ -433,3 +433,19 @@ def html_documents(spark, d):
 
     docs = html.facts(html.documents(read(spark, d, "pages").select("page_id", "url", "html")))
     return docs.select("page_id", "title", "h1", "lang", "charset", "word_count", F.round("text_ratio", 6).alias("text_ratio"), F.size("anchors").alias("anchors"), F.size("images").alias("images"))
+
+
+@query("WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY 1) SELECT start, start + INTERVAL '1 hour' AS \"end\", n, round(n / 3600.0, 9) AS rate FROM w")
+def crawl_rate(spark, d):
+    from crawlquilt.streaming.crawl import crawl_rate as rate
+
+    return rate(read(spark, d, "events"), 3600, 3600).withColumn("rate", F.round("rate", 9))
+
+
+@query()
+def host_penalties(spark, d):
+    from crawlquilt.streaming.crawl import host_penalties_batch
+
+    e = read(spark, d, "events")
+    i = F.col("event_id")
+    return host_penalties_batch(e.select(F.concat(F.lit("host"), (F.col("user_id") % 50).cast("string")).alias("host"), "event_id", "ts", F.when(i % 5 == 0, 503).otherwise(200).alias("status"), F.lit("").alias("error_type")))

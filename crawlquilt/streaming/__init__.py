@@ -1 +1 @@
-
+"""Streams of a running crawl."""
