@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import Column
@@ -161,7 +162,15 @@ def judge_directive(token: str) -> str:
         return "valid" if re.fullmatch(r"-1|[0-9]+", value) else "parse_error"
     if name == "max-image-preview":
         return "valid" if value in ("none", "standard", "large") else "parse_error"
-    return "valid" if pd.notna(pd.to_datetime(value, errors="coerce", utc=True)) else "parse_error"
+    return "valid" if _is_date(token.partition(":")[2].strip()) else "parse_error"
+
+
+def _is_date(value: str) -> bool:
+    """Dates as in mail headers or ISO 8601, and a few that authors write."""
+    try:
+        return parsedate_to_datetime(value) is not None
+    except (TypeError, ValueError):
+        return bool(pd.notna(pd.to_datetime(value, errors="coerce", utc=True)))
 
 
 @F.pandas_udf(record(tokens=STRINGS, unsupported=STRINGS, errors=STRINGS))
