@@ -28,12 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlquilt.llm.common import arrow_schema, columns_batch, table, text_key, written
+from crawlquilt.llm.common import arrow_schema, columns_batch, scratch, table, text_key, unused, written
 
 MIN_WORDS = 50
 
-_LINES = "doc_id long, key long, pos int, need int, h1 long, h2 long"
-_SPACE = " \t\x0b\x0c\r"
+_LINES = "doc_id long, key long, pos int, need int, numbers array<int>, h1 long, h2 long"
 _AT = ["doc_id", "key", "pos"]
 
 
@@ -61,12 +60,13 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for i, (doc_id, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                found = [x for _, x in lines(batch.column(1)[i].as_py())]
+                numbered = lines(batch.column(1)[i].as_py())
+                found, numbers = [x for _, x in numbered], [k for k, _ in numbered]
                 if not found or not (need := needs(found, min_words)).any():
                     continue
                 for pos, (x, n) in enumerate(zip(found, need.tolist(), strict=True)):
                     h = xxhash.xxh3_128_digest(x)
-                    rows.append((doc_id, key, pos, n, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
+                    rows.append((doc_id, key, pos, n, numbers[pos : pos + n], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
                 if len(rows) > 50_000:
                     yield columns_batch(rows, schema)
                     rows = []
@@ -86,31 +86,34 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key, pos, need: the windows that occur earlier, in the order of doc_id
-    (null first), text key and line. ``pos`` counts lines that aren't blank."""
-    found = written(_suffixes(docs, min_words))
-    ranks = _ranked(found.select(F.col("h1").alias("a"), F.col("h2").alias("b")))
-    # A row that is given twice has the same suffixes: they count as one from here on.
-    level = written(found.join(ranks, (found["h1"] == ranks["a"]) & (found["h2"] == ranks["b"])).select(*_AT, "need", "rank").dropDuplicates(_AT))
-    length, windows = 1, None
-    while True:
-        there = level.select(*(F.col(c).alias(f"_{c}") for c in _AT), F.col("rank").alias("_rank"))
-
-        def at(side: DataFrame, offset) -> DataFrame:
-            return side.join(there, side["doc_id"].eqNullSafe(there["_doc_id"]) & (side["key"] == there["_key"]) & (side["pos"] + offset == there["_pos"]))  # noqa: B023
-
-        ending = level.where((F.col("need") >= length) & (F.col("need") < 2 * length))
-        ready = at(ending, F.col("need") - length).select(*_AT, "need", F.col("rank").alias("a"), F.col("_rank").alias("b"))
-        windows = ready if windows is None else windows.unionByName(ready)
-        if level.where(F.col("need") >= 2 * length).isEmpty():
-            break
-        pairs = written(at(level, F.lit(length)).select(*_AT, "need", F.col("rank").alias("a"), F.col("_rank").alias("b")))
-        ranks = _ranked(pairs)
-        level = written(pairs.join(ranks, ["a", "b"]).select(*_AT, "need", "rank"))
-        length *= 2
-    windows = written(windows)
-    intervals = windows.groupBy("need", "a", "b").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(intervals, ["need", "a", "b"]).where(~F.struct(*_AT).eqNullSafe(F.col("first"))).select(*_AT, "need")
+    """doc_id, key, pos, need, numbers: the windows that occur earlier, in the order of
+    doc_id (null first), text key and line. ``pos`` counts lines that aren't blank,
+    ``numbers`` are the window's lines among all (``min_words`` of them at most)."""
+    with scratch(docs.sparkSession) as keep:
+        found = written(_suffixes(docs, min_words))
+        ranks = _ranked(found.select(F.col("h1").alias("a"), F.col("h2").alias("b")))
+        # A row that is given twice has the same suffixes: they count as one from here on.
+        level = written(found.join(ranks, (found["h1"] == ranks["a"]) & (found["h2"] == ranks["b"])).select(*_AT, "need", "numbers", "rank").dropDuplicates(_AT))
+        length, windows = 1, None
+        while True:
+            there = level.select(*(F.col(c).alias(f"_{c}") for c in _AT), F.col("rank").alias("_rank"))
+
+            def at(side: DataFrame, offset) -> DataFrame:
+                return side.join(there, side["doc_id"].eqNullSafe(there["_doc_id"]) & (side["key"] == there["_key"]) & (side["pos"] + offset == there["_pos"]))  # noqa: B023
+
+            ending = level.where((F.col("need") >= length) & (F.col("need") < 2 * length))
+            ready = at(ending, F.col("need") - length).select(*_AT, "need", "numbers", F.col("rank").alias("a"), F.col("_rank").alias("b"))
+            windows = ready if windows is None else windows.unionByName(ready)
+            if level.where(F.col("need") >= 2 * length).isEmpty():
+                break
+            pairs = written(at(level, F.lit(length)).select(*_AT, "need", "numbers", F.col("rank").alias("a"), F.col("_rank").alias("b")))
+            ranks = _ranked(pairs)
+            level = written(pairs.join(ranks, ["a", "b"]).select(*_AT, "need", "numbers", "rank"))
+            length *= 2
+        windows = written(windows)
+        intervals = windows.groupBy("need", "a", "b").agg(F.min(F.struct(*_AT)).alias("first"), F.count("*").alias("n")).where("n > 1")
+        later = windows.join(intervals, ["need", "a", "b"]).where(~F.struct(*_AT).eqNullSafe(F.col("first"))).select(*_AT, "need", "numbers")
+        return keep(later)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -122,19 +125,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     line. Rows that share a doc_id are documents of their own unless their text is
     equal too: those count once and get the same result. Further columns stay, clashes
     with the three new ones are replaced. An empty table gives an empty table."""
-    spans = later_copies(docs, min_words).groupBy(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("pos", "need")).alias("_spans"))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.collect_list("numbers"))))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    left = docs.select(*names, text_key(F.col("text")).alias("_text_key"))
-    joined = left.join(spans, left["doc_id"].eqNullSafe(spans["_doc_id"]) & (left["_text_key"] == spans["_key"]), "left").select(*names, "_spans")
-
+    of, hashed, key, cut = unused(names, "of", "hashed", "key", "cut")
+    with scratch(docs.sparkSession) as keep:
+        copies = keep(later_copies(docs, min_words).groupBy(F.col("doc_id").alias(of), F.col("key").alias(key)).agg(gone.alias(cut)))
+    left = docs.select(*names, text_key(F.col("text")).alias(hashed))
+    joined = left.join(copies, left["doc_id"].eqNullSafe(copies[of]) & (left[hashed] == copies[key]), "left")
     split = F.split("text", "\n")
-    # The same lines as in lines(): each that is more than ASCII white space, by its number.
-    full = F.filter(F.transform(split, lambda x, i: F.when(F.trim(x, F.lit(_SPACE)) != "", i)), lambda i: i.isNotNull())
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_full"), s["pos"] + 1, s["need"])))))
-    none = F.array().cast("array<int>")
-    numbered = joined.withColumn("_full", F.when(F.col("_spans").isNotNull(), full)).withColumn("removed", F.when(F.col("_spans").isNull(), none).otherwise(gone))
-    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("removed", i)), "\n"))
-    return numbered.select(*(c for c in names if c != "text"), kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed").select(*names, "n_lines", "n_removed", "removed")
+    removed = F.coalesce(cut, F.array().cast("array<int>"))
+    kept = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(cut, i)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    return joined.select(*(kept.alias("text") if c == "text" else c for c in names), n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_line_dedup_equals_brute_force(spark, least):
 
 def test_line_dedup_of_odd_rows(spark):
     rows = odd_rows() + [(20, "a " * 60, "en", "s", 120), (21, "a " * 60, "en", "s", 120), (22, "  " + "a " * 60 + "\r\nrest", "en", "s", 1)]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS removed", "'x' AS _spans", "2 AS key")
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS removed", "'x' AS cut", "2 AS key", "3 AS _id", "4 AS _key", "5 AS pos", "6 AS line")
     out = linededup.dedup_lines(docs).collect()
     assert len(out) == len(rows)
     by_id = {r.doc_id: r for r in out}
@@ -298,3 +298,5 @@ def test_decontamination_in_chunks_is_the_same(spark):
     one, many = (sorted(map(tuple, decontam.matches(docs, bench, chunk_bytes=n).collect())) for n in (1 << 20, 300))
     assert one == many and len(one) == 12
     assert decontam.clean(docs, bench).count() == 0
+    more = docs.selectExpr("*", "1 AS item_id", "2 AS _id", "3 AS _key", "4 AS text_hash", "5 AS start")
+    assert decontam.clean(more, bench.limit(0)).columns == more.columns and decontam.matches(more, bench).count() == 12
