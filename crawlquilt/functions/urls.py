@@ -193,3 +193,10 @@ def classify_canonical(page: pd.Series, base: pd.Series, raw: pd.Series) -> pd.D
 
     rows = [one(p, b, r) for p, b, r in zip(page, base, raw, strict=True)]
     return pd.DataFrame(rows, columns=["status", "resolved", "error"])
+
+
+def dedupe(rows, url: str = "url", order: str = "seq"):
+    """The first row of each url, letter case of scheme and host aside, in their order."""
+    u = F.trim(F.col(url))
+    key = F.when(part(u, 1) != "", F.concat(scheme(u), F.lit("://"), F.lower(part(u, 2)), F.regexp_replace(u, r"^[^:]*://[^/?#]*", ""))).otherwise(u)
+    return rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*rows.columns), order).alias("x")).select("x.*")

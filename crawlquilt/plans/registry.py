@@ -449,3 +449,64 @@ def host_penalties(spark, d):
     e = read(spark, d, "events")
     i = F.col("event_id")
     return host_penalties_batch(e.select(F.concat(F.lit("host"), (F.col("user_id") % 50).cast("string")).alias("host"), "event_id", "ts", F.when(i % 5 == 0, 503).otherwise(200).alias("status"), F.lit("").alias("error_type")))
+
+
+@query(" SELECT url_id, sha256(title || '|' || meta_desc || '|' || h1 || '|' || word_count) AS fingerprint FROM p")
+def content_fingerprints(spark, d):
+    from crawlquilt.functions.text import content_fingerprint
+
+    p = crawl(spark, d).pages
+    return p.select("url_id", content_fingerprint(F.col("title"), F.col("meta_desc"), F.array("h1"), F.col("word_count")).alias("fingerprint"))
+
+
+@query("""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS q, contains(url, '#') AS fragment FROM pages)
+SELECT page_id, s || '://' || h || CASE WHEN p = '' THEN '/' ELSE p END || q AS evidence_url, s || '://' || h || p || q AS redirect_key, fragment FROM u""")
+def url_identities(spark, d):
+    u = F.col("url")
+    return read(spark, d, "pages").select("page_id", U.evidence_url(u).alias("evidence_url"), U.redirect_key(u).alias("redirect_key"), U.has_fragment(u).alias("fragment"))
+
+
+@query("WITH t AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS base FROM pages), v AS (SELECT page_id, regexp_replace(base, '/[0-9]+$', '') AS url FROM t) SELECT min(page_id) AS seq, url FROM v GROUP BY url")
+def urls_deduped(spark, d):
+    base = F.regexp_replace(F.substring_index(F.substring_index("url", "#", 1), "?", 1), "/[0-9]+$", "")
+    return U.dedupe(read(spark, d, "pages").select(F.col("page_id").alias("seq"), base.alias("url")))
+
+
+@query("WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM e WHERE r = 1")
+def upsert_latest(spark, d):
+    from crawlquilt.sources.store import upsert
+
+    e = read(spark, d, "events").select("user_id", "event_id", "event_type", F.col("event_id").alias("batch"))
+    return upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"]).drop("batch")
+
+
+@query(" SELECT 'r1' AS run_id, 'completed' AS state, (SELECT count(*) FROM p) AS pages, (SELECT count(*) FROM l) AS links, (SELECT count(*) FROM pages) AS urls, (SELECT count(*) FROM p) * 2400 + (SELECT count(*) FROM l) * 90 + (SELECT count(*) FROM pages) * 90 AS bytes")
+def run_sizes(spark, d):
+    c = crawl(spark, d)
+    runs = spark.createDataFrame([("r1", "completed", "2026-01-01")], "id string, state string, started_at string")
+    return grid.run_sizes(replace(c, runs=runs)).drop("started_at")
+
+
+@query("WITH RECURSIVE s AS (SELECT page_id AS id, CASE WHEN page_id < 3 THEN NULL ELSE page_id // 3 END AS parent FROM pages), t AS (SELECT id, 0 AS depth FROM s WHERE parent IS NULL UNION ALL SELECT s.id, t.depth + 1 FROM t JOIN s ON s.parent = t.id WHERE t.depth < 10) SELECT 's' || id AS url, depth FROM t")
+def sitemap_tree(spark, d):
+    i = F.col("page_id")
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    parent = F.when(i >= 3, name(F.expr("page_id div 3")))
+    return frontier.sitemap_tree(read(spark, d, "pages").select(name(i).alias("url"), parent.alias("parent")))
+
+
+@query()
+def page_links(spark, d):
+    from crawlquilt.sources import html
+
+    docs = html.documents(read(spark, d, "pages").select(F.lit("r1").alias("run_id"), (F.col("page_id") + 1).alias("url_id"), "url", "html"))
+    return frontier.collect_links(docs)
+
+
+@query()
+def structured_blocks(spark, d):
+    from crawlquilt.operators import evidence_documents
+    from crawlquilt.sources import html
+
+    docs = html.documents(read(spark, d, "pages").select(F.lit("r1").alias("run_id"), (F.col("page_id") + 1).alias("url_id"), "url", "html"))
+    return evidence_documents.document_observations(docs, "example.com").unionByName(evidence_documents.block_observations(docs))
