@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlquilt.llm.common import arrow_schema, columns_batch, table, written
+from crawlquilt.llm.common import arrow_schema, columns_batch, scratch, table, written
 
 TREES = 20
 #: Leaves of a tree, at most; a small table has fewer, of LEAF vectors or more.
@@ -133,26 +133,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", n
     smaller vec_id. An empty table, or one without queries, gives no rows; further
     columns are not read."""
     spark = vectors.sparkSession
-    rows = written(usable(vectors, column))
-    count = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not count:
-        return spark.createDataFrame([], schema)
-    asked = usable(queries, column).select("id", "vec")
-    forest = spark.sparkContext.broadcast(_fit(rows, count, trees, leaves, leaf, visits, sample, seed))
-    routed = written(rows.mapInArrow(lambda batches: _route(batches, forest.value, nearest), "id long, vec array<double>, leaves array<int>"))
-    placed = routed.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
-    # One row for each leaf: trees * leaves at most.
-    parts = F.broadcast(placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
-    key = ["tree", "leaf", "part"]
-    members = placed.join(parts, ["tree", "leaf"]).select(*key[:2], F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "vec")
-    probes = asked.mapInArrow(lambda batches: _probe(batches, forest.value), "id long, vec array<double>, tree int, leaf int")
-    probes = probes.join(parts, ["tree", "leaf"]).select(*key[:2], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "vec")
-    blocks = members.unionByName(probes).repartition(*key).sortWithinPartitions(*key, "side", "id")
-    found = blocks.mapInArrow(lambda batches: _rank(batches, nearest), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    with scratch(spark) as keep:
+        rows = written(usable(vectors, column))
+        count = rows.count()
+        schema = "query_id long, rank int, vec_id long, score double"
+        if not count:
+            return spark.createDataFrame([], schema)
+        asked = usable(queries, column).select("id", "vec")
+        forest = spark.sparkContext.broadcast(_fit(rows, count, trees, leaves, leaf, visits, sample, seed))
+        routed = written(rows.mapInArrow(lambda batches: _route(batches, forest.value, nearest), "id long, vec array<double>, leaves array<int>"))
+        placed = routed.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
+        # One row for each leaf: trees * leaves at most.
+        parts = F.broadcast(placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+        key = ["tree", "leaf", "part"]
+        members = placed.join(parts, ["tree", "leaf"]).select(*key[:2], F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "vec")
+        probes = asked.mapInArrow(lambda batches: _probe(batches, forest.value), "id long, vec array<double>, tree int, leaf int")
+        probes = probes.join(parts, ["tree", "leaf"]).select(*key[:2], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "vec")
+        blocks = members.unionByName(probes).repartition(*key).sortWithinPartitions(*key, "side", "id")
+        found = blocks.mapInArrow(lambda batches: _rank(batches, nearest), "query_id long, vec_id long, score double")
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return keep(best.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score"))
 
 
 def _route(batches: Iterator[pa.RecordBatch], forest: Forest, nearest: int) -> Iterator[pa.RecordBatch]:

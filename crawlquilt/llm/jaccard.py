@@ -33,43 +33,51 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlquilt.llm.common import WordHashes, arrow_schema, columns_batch, matching, mix, table, text_key, written
+from crawlquilt.llm.common import FoldedWords, arrow_schema, columns_batch, matching, mix, scratch, table, text_key, written
 from crawlquilt.llm.components import components
 
 N = 3
 PERCENT = 90
 ORDERS = 3
-#: A token is frequent if it has at least this share of all tokens' count, and 64.
+#: Tokens that are put last as frequent ones, at most.
 MOST_FREQUENT = 1 << 20
-LEAST_FREQUENT = 64
 #: Tokens in a window of documents, and the count in it from which a token is reported.
 WINDOW_TOKENS = 4_000_000
 REPORT = 4
 
-_SCANNED = "doc_id long, key long, n long, d1 long, d2 long, token long, reported long"
-_PREFIX = "token long, d1 long, d2 long, n long, pos long"
-_SETS = "d1 long, d2 long, tokens array<long>, others array<array<long>>"
-
-
-def words(text: str | None) -> list[bytes]:
-    """A-Z in lower case; words are set apart by spaces, tabs and line ends of ASCII only."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+_SCANNED = "doc_id long, key long, n long, d1 long, d2 long, s1 long, s2 long, token long, reported long"
+_PREFIX = "token long, d1 long, place long, d2 long, others array<array<int>>"
+_SETS = "id long, tokens array<long>"
 
 
 class Shingles:
+    """The sets of texts, as sorted hashes."""
+
     def __init__(self, n: int):
-        self.n, self.hashes = n, WordHashes()
+        self.n, self.words = n, FoldedWords()
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The set of a text, as sorted hashes. Fewer words than a shingle has make one."""
-        h = self.hashes(found) if (found := words(text)) else np.zeros(0, dtype=np.uint64)
+    def batch(self, column: pa.Array) -> Iterator[np.ndarray]:
+        for h in self.words.batch(column):
+            yield self.of_hashes(h)
+
+    def of_hashes(self, h: np.ndarray) -> np.ndarray:
+        """Fewer words than a shingle has make one."""
         if not len(h):
             return h
         size = min(self.n, len(h))
         out = np.full(len(h) - size + 1, size, dtype=np.uint64)
-        for k in range(size):
-            out = mix(out ^ h[k : len(h) - size + 1 + k], k)
-        return np.unique(out)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                out = (out ^ h[k : len(h) - size + 1 + k]) * _MULTIPLIER
+                out ^= out >> np.uint64(29)
+        out.sort()
+        keep = np.empty(len(out), dtype=bool)
+        keep[0] = True
+        np.not_equal(out[1:], out[:-1], out=keep[1:])
+        return out[keep]
+
+
+_MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -77,26 +85,54 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def sketch(tokens: np.ndarray) -> tuple[int, int]:
+    """How many tokens have each value of their highest four bits, 16 counts modulo 256
+    in two longs. The counts of two sets differ by no more than the sets do."""
+    counts = np.bincount((tokens >> np.uint64(60)).astype(np.int64), minlength=16).astype(np.uint8).tobytes()
+    return int.from_bytes(counts[:8], "little", signed=True), int.from_bytes(counts[8:], "little", signed=True)
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
 class Orders:
-    """The first tokens of a set under each global order."""
+    """The first tokens of a set under each global order: rare ones by a hash, then the
+    frequent ones by their count and that hash."""
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray, orders: int):
         self.frequent, self.counts, self.orders = frequent, counts, orders
 
-    def weight(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.zeros(len(tokens), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == tokens, self.counts[at], 0)
+    def weights(self, tokens: np.ndarray) -> np.ndarray:
+        """Counts of the frequent tokens, 0 for others. A bitmap spares most look-ups."""
+        out = np.zeros(len(tokens), dtype=np.int64)
+        if len(self.frequent):
+            if not hasattr(self, "map"):
+                self.map = np.zeros(1 << 24, dtype=bool)
+                self.map[(self.frequent >> np.uint64(40)).astype(np.int64)] = True
+            maybe = np.flatnonzero(self.map[(tokens >> np.uint64(40)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.frequent, tokens[maybe]), len(self.frequent) - 1)
+            out[maybe] = np.where(self.frequent[at] == tokens[maybe], self.counts[at], 0)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "map"}
 
     def prefixes(self, tokens: np.ndarray, size: int) -> list[np.ndarray]:
         """The first tokens under each order, in that order."""
-        weight = self.weight(tokens)
-        return [tokens[np.lexsort((mix(tokens, 100 + k), weight))[:size]] for k in range(self.orders)]
+        weights = self.weights(tokens)
+        rare = tokens[weights == 0]
+        often = tokens[weights > 0] if len(rare) < size else None
+        out = []
+        for k in range(self.orders):
+            key = mix(rare, 100 + k)
+            if often is None:
+                first = np.argpartition(key, size - 1)[:size] if size < len(key) else np.arange(len(key))
+                out.append(rare[first[np.argsort(key[first])]])
+            else:
+                last = np.lexsort((mix(often, 100 + k), weights[weights > 0]))[: size - len(rare)]
+                out.append(np.concatenate((rare[np.argsort(key)], often[last])))
+        return out
 
 
 def _scan(docs: DataFrame, n: int) -> DataFrame:
@@ -110,14 +146,13 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
             tokens, count = np.unique(np.concatenate(window), return_counts=True) if window else (np.zeros(0, dtype=np.uint64),) * 2
             window.clear()
             often = count >= REPORT
-            return [(None, None, size, None, None, t, c) for t, c in zip(tokens[often].view(np.int64).tolist(), count[often].tolist(), strict=True)]
+            return [(None, None, size, None, None, None, None, t, c) for t, c in zip(tokens[often].view(np.int64).tolist(), count[often].tolist(), strict=True)]
 
         for batch in batches:
             rows = []
-            for i, (doc_id, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                tokens = shingles(batch.column(1)[i].as_py())
+            for doc_id, key, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingles.batch(batch.column(1)), strict=True):
                 d1, d2 = digest(tokens)
-                rows.append((doc_id, key, len(tokens), d1, d2, None, None))
+                rows.append((doc_id, key, len(tokens), d1, d2, *sketch(tokens), None, None))
                 window.append(tokens)
                 size += len(tokens)
                 if size >= WINDOW_TOKENS:
@@ -129,80 +164,109 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).mapInArrow(run, _SCANNED)
 
 
-def _frequent(scanned: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens, sorted, and their estimated counts. A token counted ``f`` times
-    or more is one of at most ``total / f``, and ``f >= total / MOST_FREQUENT``: the
-    driver and the tasks hold at most MOST_FREQUENT of them."""
-    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
-    rows = scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("reported").alias("n")).where(F.col("n") >= least).toArrow()
+def _frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent tokens, sorted, and their estimated counts: as many of the most frequent
+    reported ones as MOST_FREQUENT allows, which bounds what the driver and tasks hold."""
+    counted = written(scanned.where("token IS NOT NULL").groupBy("token").agg(F.sum("reported").alias("n")))
+    sizes = sorted((r["s"], r["count"]) for r in counted.groupBy(F.floor(F.log2("n")).alias("s")).count().collect())
+    total, least = sum(n for _, n in sizes), 0
+    for s, n in sizes:
+        if total <= MOST_FREQUENT:
+            break
+        total, least = total - n, 2 ** (s + 1)
+    rows = counted.where(F.col("n") >= least).toArrow()
     tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], rows.column("n").to_numpy().astype(np.int64)[order]
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, orders: Orders) -> DataFrame:
-    """(token, class, n, place) for each prefix token of the first order of each class."""
+    """(token, d1 of the class, place) for each prefix token of the first order of each
+    class, and a row of each class with 32 bits of its prefix tokens under the others.
+    Two classes with one d1 only make more candidates."""
     schema = arrow_schema(_PREFIX)
     held = docs.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, orders, seen = Shingles(n), held.value, set()
-        first = Orders(orders.frequent, orders.counts, 1)
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                tokens = shingles(batch.column(0)[i].as_py())
+            parts: list[list[np.ndarray]] = [[], [], []]
+            rows: list[tuple] = []
+            for tokens in shingles.batch(batch.column(0)):
                 if not len(tokens) or (d := digest(tokens)) in seen:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(d)
-                (prefix,) = first.prefixes(tokens, size := prefix_size(len(tokens), percent))
-                for part, x in zip(parts, (prefix.view(np.int64), np.full(size, d[0]), np.full(size, d[1]), np.full(size, len(tokens)), np.arange(size)), strict=True):
+                prefix, *others = orders.prefixes(tokens, size := prefix_size(len(tokens), percent))
+                for part, x in zip(parts, (prefix.view(np.int64), np.full(size, d[0]), np.arange(size)), strict=True):
                     part.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], schema=schema)
+                rows.append((None, d[0], None, d[1], [(x >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() for x in others]))
+            if rows:
+                columns = [pa.array(np.concatenate(x)) for x in parts]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), schema.field(k).type) for k in (3, 4))], schema=schema)
+                yield columns_batch(rows, schema)
 
     return docs.select("text").mapInArrow(run, _PREFIX)
 
 
-def _sets(texts: DataFrame, n: int, percent: int, orders: Orders) -> DataFrame:
-    """(class, sorted tokens, prefixes of the further orders) of each row of ``texts``."""
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(id, sorted tokens) of each row (id, text)."""
     schema = arrow_schema(_SETS)
-    held = texts.sparkSession.sparkContext.broadcast(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, orders = Shingles(n), held.value
+        shingles = Shingles(n)
         for batch in batches:
             rows, size = [], 0
-            for i in range(batch.num_rows):
-                tokens = shingles(batch.column(0)[i].as_py())
-                prefixes = orders.prefixes(tokens, prefix_size(len(tokens), percent))
-                rows.append((*digest(tokens), tokens.view(np.int64), [x.view(np.int64).tolist() for x in prefixes[1:]]))
+            for i, tokens in zip(batch.column(0).to_pylist(), shingles.batch(batch.column(1)), strict=True):
+                rows.append((i, tokens.view(np.int64)))
                 size += len(tokens)
                 if size > 2_000_000:
                     yield columns_batch(rows, schema)
                     rows, size = [], 0
             yield columns_batch(rows, schema)
 
-    return texts.select("text").mapInArrow(run, _SETS)
+    return texts.select("id", "text").mapInArrow(run, _SETS)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: filtered under every further order, then exactly."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("others").alias("oa"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("others").alias("ob"))
+def _filtered(pairs: DataFrame, prefixes: DataFrame, orders: int) -> DataFrame:
+    """The pairs (a, b) that share a prefix token under every further order."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    prefixes = written(prefixes.join(ids, "id", "left_semi"))
+    left = prefixes.select(F.col("id").alias("a"), F.col("others").alias("oa"))
+    right = prefixes.select(F.col("id").alias("b"), F.col("others").alias("ob"))
     both = pairs.join(left, "a").join(right, "b")
     for k in range(orders - 1):
         both = both.where(F.arrays_overlap(F.col("oa")[k], F.col("ob")[k]))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("ta") + F.size("tb") - F.col("shared"))).select("a", "b")
+    return both.select("a", "b").distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, exactly."""
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+    return both.where(100 * F.col("shared") >= percent * (F.size("ta") + F.size("tb") - F.col("shared"))).select("a", "b")
 
 
 def _may_link(percent: int) -> Column:
-    """Whether two members of a bucket (n, pos) and (other_n, other_pos) can link if its
-    token is the first that they share."""
-    needed = percent * (F.col("n") + F.col("other_n"))
-    return (F.col("id") != F.col("other")) & ((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos")) >= needed)
+    """Whether two members of a bucket (n, pos, s1, s2) and (other_n, ...) can link if its
+    token is the first that they share: by their places, and by the counts of their sketches."""
+    both = F.col("n") + F.col("other_n")
+    room = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos")) >= percent * both
+    apart = F.lit(0)
+    for c in ("s1", "s2"):
+        for shift in range(0, 64, 8):
+            byte = lambda name: F.shiftrightunsigned(F.col(name), shift).bitwiseAND(255)  # noqa: B023, E731
+            gap = F.abs(byte(c) - byte(f"other_{c}"))
+            apart = apart + F.least(gap, 256 - gap)
+    return (F.col("id") != F.col("other")) & room & ((100 + percent) * apart <= (100 - percent) * both)
+
+
+_MEMBER = ["id", "n", "pos", "s1", "s2"]
+
+
+def _other(prefix: str = "") -> list[Column]:
+    return [F.col(f"{prefix}{c}").alias("other" if c == "id" else f"other_{c}") for c in _MEMBER]
 
 
 def _pair() -> list[Column]:
@@ -210,8 +274,8 @@ def _pair() -> list[Column]:
 
 
 def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
-    lead = members.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("id").alias("draw"), "id", "n")).alias("lead"))
-    pairs = members.join(lead, "token").select("id", "n", "pos", F.col("lead.id").alias("other"), F.col("lead.n").alias("other_n"), F.col("lead.pos").alias("other_pos"))
+    lead = members.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("id").alias("draw"), "id", "n", "s1", "s2")).alias("lead"))
+    pairs = members.join(lead, "token").select(*_MEMBER, *_other("lead."))
     return pairs.where(_may_link(percent)).select(*_pair()).distinct()
 
 
@@ -222,17 +286,18 @@ def _cross_component(members: DataFrame, percent: int) -> DataFrame:
     members = written(members.join(mixed, "token"))
     sizes = members.groupBy("token", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("main")).select("token", F.col("main.component").alias("main"))
-    outside = members.join(main, "token").where("component <> main").select("token", "id", "n", "pos", "component")
-    other = members.select("token", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"))
+    outside = members.join(main, "token").where("component <> main").select("token", *_MEMBER, "component")
+    other = members.select("token", *_other(), F.col("component").alias("other_component"))
     return outside.join(other, (outside["token"] == other["token"]) & (F.col("component") != F.col("other_component")) & _may_link(percent)).select(*_pair()).distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, order: Orders) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = written(classes.join(ids, "id").select(F.col("class_id").alias("_id"), F.col("key").alias("_key"), "d1", "d2", "id"))
-    texts = matching(docs, wanted.select("_id", "_key"), "left_semi").select("text")
-    sets = written(_sets(texts, n, percent, order).dropDuplicates(["d1", "d2"]).join(wanted.select("d1", "d2", "id"), ["d1", "d2"]).select("id", "tokens", "others"))
-    return written(_linked(pairs, sets, percent, order.orders))
+def _verified(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, pairs: DataFrame, n: int, percent: int, orders: int) -> DataFrame:
+    with scratch(docs.sparkSession) as keep:
+        pairs = written(_filtered(pairs, prefixes, orders))
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = written(classes.join(ids, "id").select(F.col("class_id").alias("_id"), F.col("key").alias("_key"), "id"))
+        sets = written(_sets(matching(docs.select("doc_id", "text"), wanted, "inner").select("id", "text"), n))
+        return keep(_linked(pairs, sets, percent))
 
 
 def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -244,32 +309,35 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, orders: int = O
     class and component are its own id. Repeated rows are in the same class, so they
     change nothing. Texts of any length are read whole; an empty table gives no rows;
     further columns are not read."""
-    scanned = written(_scan(docs, n))
-    rows = scanned.where("token IS NULL").select("doc_id", "key", "n", "d1", "d2")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # A class is named by its first row's id, for joins; ids are counted from 0, null ids included.
-    classes = written(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"), F.count("*").alias("copies")))
-    classes = written(classes.repartitionByRange("d1").withColumn("id", F.monotonically_increasing_id()))
-    order = Orders(*_frequent(scanned, total), orders)
-
-    tokens = written(_prefixes(docs, n, percent, order))
-    shared = tokens.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("d2").alias("low2"), F.max("d2").alias("high2")).where("low <> high OR low2 <> high2").select("token")
-    named = classes.select("d1", "d2", "id")
-    members = written(tokens.join(shared, "token").dropDuplicates(["token", "d1", "d2"]).join(named, ["d1", "d2"]).select("token", "id", "n", "pos"))
-    first = written(_leader_pairs(members, percent))
-    links = _verified(docs, classes, first, n, percent, order)
-    placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = written(_cross_component(placed, percent).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(docs, classes, rest, n, percent, order))
-    reached = classes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = reached.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "key")).alias("first"))
-    of_class = reached.join(least, "component").select("d1", "d2", "class_id", "component_id", "first")
-    out = rows.where("n > 0").join(of_class, ["d1", "d2"])
-    chosen = F.col("doc_id").eqNullSafe(F.col("first.class_id")) & (F.col("key") == F.col("first.key"))
-    out = out.select("doc_id", F.col("key").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id", "component_id", chosen.alias("first"))
-    bare = rows.where("n = 0").select("doc_id", F.col("key").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
-    return out.unionByName(bare)
+    with scratch(docs.sparkSession) as keep:
+        scanned = written(_scan(docs, n))
+        rows = scanned.where("token IS NULL").drop("token", "reported")
+        # A class is named by its first row's id, for joins; ids are counted from 0, null ids included.
+        classes = written(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"), F.min("s1").alias("s1"), F.min("s2").alias("s2")))
+        classes = written(classes.repartitionByRange("d1").withColumn("id", F.monotonically_increasing_id()))
+        order = Orders(*_frequent(scanned), orders)
+
+        emitted = written(_prefixes(docs, n, percent, order))
+        tokens = emitted.where("token IS NOT NULL").select("token", "d1", "place")
+        # A class that several tasks have seen counts more than once: its bucket is then read in vain.
+        shared = tokens.groupBy("token").count().where("count > 1").select("token")
+        members = tokens.join(shared, "token").join(classes.select("d1", "id", "n", "s1", "s2"), "d1")
+        members = written(members.select("token", "id", "n", F.col("place").alias("pos"), "s1", "s2").dropDuplicates(["token", "id"]))
+        first = written(_leader_pairs(members, percent))
+        prefixes = emitted.where("token IS NULL").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select("id", "others")
+        links = _verified(docs, classes, prefixes, first, n, percent, orders)
+        placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rest = written(_cross_component(placed, percent).join(first, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.unionByName(_verified(docs, classes, prefixes, rest, n, percent, orders))
+        reached = classes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        least = reached.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "key")).alias("first"))
+        of_class = reached.join(least, "component").select("d1", "d2", "class_id", "component_id", "first")
+        out = rows.where("n > 0").join(of_class, ["d1", "d2"])
+        chosen = F.col("doc_id").eqNullSafe(F.col("first.class_id")) & (F.col("key") == F.col("first.key"))
+        out = out.select("doc_id", F.col("key").alias("text_hash"), F.col("n").alias("n_shingles"), "class_id", "component_id", chosen.alias("first"))
+        bare = rows.where("n = 0").select("doc_id", F.col("key").alias("text_hash"), F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+        return keep(out.unionByName(bare))
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -282,3 +350,23 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + {N - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {N - 1}, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS digest FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE r.id = d.doc_id) AS component_id,
+  CASE WHEN n.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY n.digest, n.n) END AS class_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -27,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_line_dedup": linededup.OP1_SQL, "op6_url_filter": urlfilter.OP6_SQL}
+    sql = {"op1_line_dedup": linededup.OP1_SQL, "op3_jaccard_join": jaccard.OP3_SQL, "op6_url_filter": urlfilter.OP6_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql

@@ -70,7 +70,7 @@ def test_jaccard_components_equal_brute_force(spark, seed, n, percent):
 
 def test_jaccard_of_odd_rows(spark):
     rows = [(None, "a b c d e"), (None, "q r s t"), (5, "a b c d e"), (5, "a b c d e"), (5, "other words are here"), (6, None), (6, ""), (None, None)]
-    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n int, token string")
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in rows], "doc_id long, text string, n int, token string, id int, _id int, key int")
     out = [tuple(r) for r in jaccard.similar(docs).select("doc_id", "n_shingles", "component_id", "first").collect()]
     assert sorted(out, key=str) == sorted([(None, 3, 5, False), (None, 2, None, True), (5, 3, 5, True), (5, 3, 5, True), (5, 2, 5, True), (6, 0, 6, True), (6, 0, 6, True), (None, 0, None, True)], key=str)
     assert jaccard.one_of_each(docs).count() == 7 and jaccard.one_of_each(docs).columns == docs.columns
