@@ -78,7 +78,7 @@ def url_observations(crawl: Crawl, seed_id: int = 1) -> DataFrame:
         "redirect_hop_count": F.when(F.col("status_class") == 3, F.col("redirect_hops")),
         "redirect_final_url": F.when(F.col("status_class") == 3, _known(F.col("redirect_to"))),
     }
-    return _rows(rows, URL, url_ref(), fields, F.concat(F.lit("sitecrawl_pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string")))
+    return _rows(rows, URL, url_ref(), fields, F.concat(F.lit("pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string")))
 
 
 def link_observations(crawl: Crawl) -> DataFrame:
@@ -100,7 +100,7 @@ def link_observations(crawl: Crawl) -> DataFrame:
         "href": F.col("dst_url"),
     }
     ref = F.concat(F.lit("link:"), F.col("run_id"), F.lit(":"), F.col("src_id").cast("string"), F.lit(":"), F.col("seq").cast("string"))
-    return _rows(rows, LINK, ref, fields, F.concat(F.lit("sitecrawl_links:"), F.substring(ref, 6, 200)))
+    return _rows(rows, LINK, ref, fields, F.concat(F.lit("links:"), F.substring(ref, 6, 200)))
 
 
 def entry_observations(entries: DataFrame, crawl: Crawl) -> DataFrame:

@@ -17,7 +17,7 @@ BLOCK_CAP = {"json_ld": 20, "microdata": 40}
 
 
 def _page() -> Column:
-    return F.concat(F.lit("sitecrawl_pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string"))
+    return F.concat(F.lit("pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string"))
 
 
 def robots_observations(pages: DataFrame, robots: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def discovery_observations(discovery: DataFrame) -> DataFrame:
         "sitemap_discovery_status": _known(F.col("status")), "sitemap_discovery_complete": F.col("status") == "COMPLETED", "sitemaps_found_count": F.col("sitemaps_found"), "sitemap_entries_found_count": F.col("entries_found"),
         "sitemap_depth_capped": F.col("depth_capped"), "sitemap_urls_capped": F.col("urls_capped"), "sitemap_byte_capped": F.col("byte_capped"), "sitemap_discovery_stop_reason": _known(F.col("stop_reason")),
     }
-    return _rows(discovery, SITE, F.lit("site"), fields, F.concat(F.lit("sitecrawl_sitemap_discovery:"), F.col("run_id")))
+    return _rows(discovery, SITE, F.lit("site"), fields, F.concat(F.lit("sitemap_discovery:"), F.col("run_id")))
 
 
 def https_observations(pages: DataFrame, seed_url: str) -> DataFrame:
@@ -122,7 +122,7 @@ def https_observations(pages: DataFrame, seed_url: str) -> DataFrame:
     fields = {
         "site_https_url": F.col("x.url"), "fetch_attempted": F.lit(True), "fetch_status": F.col("x.status"), "tls_valid": F.when(F.col("x.status") > 0, "true").when(F.col("x.error_type") == "ssl-error", "false"), "fetch_error_type": _known(F.col("x.error_type")),
     }
-    return _rows(rows, SITE, F.lit("site"), fields, F.concat(F.lit("sitecrawl_pages:"), F.col("run_id"), F.lit(":site")))
+    return _rows(rows, SITE, F.lit("site"), fields, F.concat(F.lit("pages:"), F.col("run_id"), F.lit(":site")))
 
 
 def gaps(docs: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def export_json(df: DataFrame, path: str) -> None:
 
 def export_xml(df: DataFrame, path: str) -> None:
     out = df.select(*(c.alias(xml_name(n)) for c, n in zip(_texts(df), df.columns, strict=True)))
-    out.write.mode("overwrite").format("xml").option("rootTag", "sitecrawl").option("rowTag", "row").save(path)
+    out.write.mode("overwrite").format("xml").option("rootTag", "crawl").option("rowTag", "row").save(path)
 
 
 def json_envelope(df: DataFrame) -> DataFrame:

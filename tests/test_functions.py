@@ -67,7 +67,7 @@ def test_json_ld(spark):
     assert [r["status"] for r in values(spark, rows, text.parse_json_ld("a"))] == ["PARSE_SUCCESS", "PARSE_SUCCESS", "EMPTY_INPUT", "EMPTY_INPUT", "PARSE_ERROR", "PARSE_ERROR", "PARSE_ERROR", "PARSE_SUCCESS"]
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [("abcd", "bcde", 0.75), ("abc", "abc", 1.0), ("", "", 1.0), ("abc", "", 0.0), ("kitten", "sitting", 0.6153846153846154), ("the quick brown fox", "the quick brown dog", 0.8947368421052632), ("trang chu nha cai alo789", "trang chu nha cai alo790", 0.9583333333333334), ("a" * 250 + "xyz", "a" * 250 + "abc", 0.9881422924901185)])
+@pytest.mark.parametrize(("a", "b", "want"), [("abcd", "bcde", 0.75), ("abc", "abc", 1.0), ("", "", 1.0), ("abc", "", 0.0), ("kitten", "sitting", 0.6153846153846154), ("the quick brown fox", "the quick brown dog", 0.8947368421052632), ("a" * 250 + "xyz", "a" * 250 + "abc", 0.9881422924901185)])
 def test_text_ratios(a, b, want):
     assert abs(duplicates.ratio(a, b) - want) < 1e-9
 
