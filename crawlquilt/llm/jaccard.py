@@ -183,7 +183,8 @@ def _frequent(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(docs: DataFrame, n: int, percent: int, orders: Orders) -> DataFrame:
     """(token, d1 of the class, place) for each prefix token of the first order of each
     class, and a row of each class with 32 bits of its prefix tokens under the others.
-    Two classes with one d1 only make more candidates."""
+    Half a digest tells classes apart here; two that share it are each other's candidates
+    where a third class shares a token."""
     schema = arrow_schema(_PREFIX)
     held = docs.sparkSession.sparkContext.broadcast(orders)
 
@@ -281,8 +282,9 @@ def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def _cross_component(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket's members in different components. The members of the largest
-    component of a bucket stand on one side only, so a pair needs an outsider."""
-    mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    component of a bucket stand on one side only, so a pair needs an outsider. A bucket
+    of two is done: its pair was that of a leader."""
+    mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2").select("token")
     members = written(members.join(mixed, "token"))
     sizes = members.groupBy("token", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("main")).select("token", F.col("main.component").alias("main"))
@@ -319,8 +321,7 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, orders: int = O
 
         emitted = written(_prefixes(docs, n, percent, order))
         tokens = emitted.where("token IS NOT NULL").select("token", "d1", "place")
-        # A class that several tasks have seen counts more than once: its bucket is then read in vain.
-        shared = tokens.groupBy("token").count().where("count > 1").select("token")
+        shared = tokens.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("token")
         members = tokens.join(shared, "token").join(classes.select("d1", "id", "n", "s1", "s2"), "d1")
         members = written(members.select("token", "id", "n", F.col("place").alias("pos"), "s1", "s2").dropDuplicates(["token", "id"]))
         first = written(_leader_pairs(members, percent))
