@@ -131,7 +131,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         copies = keep(later_copies(docs, min_words).groupBy(F.col("doc_id").alias(of), F.col("key").alias(key)).agg(gone.alias(cut)))
     left = docs.select(*names, text_key(F.col("text")).alias(hashed))
-    joined = left.join(copies, left["doc_id"].eqNullSafe(copies[of]) & (left[hashed] == copies[key]), "left")
+    # How long the copies' arrays are is not bounded by their count: never broadcast them.
+    joined = left.join(copies.hint("merge"), left["doc_id"].eqNullSafe(copies[of]) & (left[hashed] == copies[key]), "left")
     split = F.split("text", "\n")
     removed = F.coalesce(cut, F.array().cast("array<int>"))
     kept = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(cut, i)), "\n"))
