@@ -13,6 +13,8 @@ from crawlquilt.llm.common import table, written
 
 #: Near duplicates share 80 of 100 shingles of five words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Repeated line runs of so many words lose their later copies, boilerplate lines too.
+LINE_WORDS = 5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which nothing is left."""
-    out = linededup.dedup_lines(docs).where("n_removed = 0 OR trim(BOTH ' \t\n\r\f\x0b' FROM text) <> ''")
+    out = linededup.dedup_lines(docs, LINE_WORDS).where("n_removed = 0 OR trim(BOTH ' \t\n\r\f\x0b' FROM text) <> ''")
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
