@@ -134,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", n
     columns are not read."""
     spark = vectors.sparkSession
     with scratch(spark) as keep:
-        rows = written(usable(vectors, column))
+        rows = written(usable(vectors, column).dropDuplicates(["id", "vec"]))
         count = rows.count()
         schema = "query_id long, rank int, vec_id long, score double"
         if not count:
@@ -158,7 +158,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", n
 
 def _route(batches: Iterator[pa.RecordBatch], forest: Forest, nearest: int) -> Iterator[pa.RecordBatch]:
     """The leaves of each vector. Of equal vectors in a batch those with the smallest
-    ids stay, one more than a query returns: the others are never among its nearest."""
+    ids stay, one more than a query returns: the others are never among its nearest.
+    Rows that repeat an id and its vector must be gone, so that ids are counted."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -215,20 +216,30 @@ def _rank(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.Record
 
 
 def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, nearest: int) -> list[tuple[int, int, float]]:
+    """The ``nearest`` best ids of each query, each by its best row. The ids are sorted."""
     rough = _units(q) @ _units(x).T
     rough[queries[:, None] == ids[None, :]] = -9.0
-    top = min(nearest, rough.shape[1])
-    least = np.partition(rough, rough.shape[1] - top, axis=1)[:, rough.shape[1] - top]
-    rows, columns = np.nonzero(rough >= np.maximum(least, -2.0)[:, None] - 1e-9)
+    firsts = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
+    of_id = np.maximum.reduceat(rough, firsts, axis=1) if len(firsts) < len(ids) else rough
+    top = min(nearest, len(firsts))
+    least = np.partition(of_id, len(firsts) - top, axis=1)[:, len(firsts) - top]
+    near = rough >= np.maximum(least, -2.0)[:, None] - 1e-9
+    if len(firsts) < len(ids):
+        near &= rough >= np.repeat(of_id, np.diff(np.r_[firsts, len(ids)]), axis=1) - 1e-9
+    rows, columns = np.nonzero(near)
     # The exact score of what is left: its rounding doesn't depend on the block.
     a, b = q[rows], x[columns]
     score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-    order = np.lexsort((ids[columns], -score, rows))
-    rows, columns, score = rows[order], columns[order], score[order]
+    order = np.lexsort((-score, ids[columns], rows))
+    rows, found, score = rows[order], ids[columns[order]], score[order]
+    new = np.r_[True, (np.diff(rows) != 0) | (np.diff(found) != 0)][: len(rows)]
+    rows, found, score = rows[new], found[new], score[new]
+    order = np.lexsort((found, -score, rows))
+    rows, found, score = rows[order], found[order], score[order]
     starts = np.flatnonzero(np.r_[True, np.diff(rows) != 0]) if len(rows) else np.zeros(0, dtype=np.int64)
     place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
     kept = place < nearest
-    return list(zip(queries[rows[kept]].tolist(), ids[columns[kept]].tolist(), score[kept].tolist(), strict=True))
+    return list(zip(queries[rows[kept]].tolist(), found[kept].tolist(), score[kept].tolist(), strict=True))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

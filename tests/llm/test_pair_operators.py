@@ -142,6 +142,25 @@ def test_nearest_neighbours_of_odd_rows(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 6])
+def test_nearest_neighbours_of_repeated_ids_are_all_there(spark, copies):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(12, 4))
+    x[7:] = x[7]  # ids that share a vector
+    repeated = [(i, v.tolist()) for i, v in enumerate(x)] * copies
+    turned = [(i, (v + k * 1e-3 * rng.normal(size=4)).tolist()) for i, v in enumerate(x) for k in range(copies)]
+    for rows in (repeated, turned):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        got = {q: [] for q in range(12)}
+        for r in sorted(ann.nearest(df, df).collect()):
+            got[r.query_id].append((r.vec_id, r.score))
+        for q in got:
+            vectors = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows]
+            best = {i: max(a @ b for k, a in vectors if k == i for n, b in vectors if n == q) for i in range(12) if i != q}
+            want = sorted(best, key=lambda i: (-round(best[i], 12), i))[:5]
+            assert [i for i, _ in got[q]] == want and all(abs(s - best[i]) < 1e-9 for i, s in got[q])
+
+
 def judge_brute(url, rules):
     host, path = urlfilter.host_path(url)
     fits = [(len(r), r, v) for r, v in rules for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p) and host]
