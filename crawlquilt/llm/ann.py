@@ -98,16 +98,25 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def usable(vectors: DataFrame, column: str) -> DataFrame:
-    """id and vec (an array of doubles) of the vectors that take part: not null, of the
-    most frequent length (the longer one if two are as frequent), all components
-    finite, not zero, and with an id."""
+def _valid(vectors: DataFrame, column: str) -> DataFrame:
+    """id and vec (an array of doubles) of the vectors that are not null, with all
+    components finite, not zero, and with an id."""
     v = F.col("vec")
     whole = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col(column).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull())
-    rows = rows.where(whole & F.exists(v, lambda x: x != 0))
-    top = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("vec") == (top["n"] if top else 0))
+    return rows.where(whole & F.exists(v, lambda x: x != 0))
+
+
+def dimensions(vectors: DataFrame, column: str) -> int:
+    """The most frequent length of the valid vectors (the longer one if two are as
+    frequent); 0 if there are none."""
+    top = _valid(vectors, column).groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return top["n"] if top else 0
+
+
+def usable(vectors: DataFrame, column: str, dims: int) -> DataFrame:
+    """id and vec of the valid vectors with ``dims`` components: those that take part."""
+    return _valid(vectors, column).where(F.size("vec") == dims)
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -127,19 +136,21 @@ def _fit(rows: DataFrame, count: int, trees: int, leaves: int, leaf: int, visits
 def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", nearest: int = NEAREST, trees: int = TREES, leaves: int = LEAVES, leaf: int = LEAF, visits: float = VISITS, sample: int = SAMPLE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the nearest vectors found.
 
-    Vectors that ``usable`` leaves out are neither queries nor candidates. A vec_id
+    Vectors that ``usable`` leaves out are neither queries nor candidates; those of another
+    length than most of ``vectors`` are among them, in both tables. A vec_id
     names one vector: rows that repeat it are one candidate, with the best score among
     them, and never the neighbour of a query with their id. Equal scores go by the
     smaller vec_id. An empty table, or one without queries, gives no rows; further
     columns are not read."""
     spark = vectors.sparkSession
     with scratch(spark) as keep:
-        rows = written(usable(vectors, column).dropDuplicates(["id", "vec"]))
+        dims = dimensions(vectors, column)
+        rows = written(usable(vectors, column, dims).dropDuplicates(["id", "vec"]))
         count = rows.count()
         schema = "query_id long, rank int, vec_id long, score double"
         if not count:
             return spark.createDataFrame([], schema)
-        asked = usable(queries, column).select("id", "vec")
+        asked = usable(queries, column, dims).select("id", "vec")
         forest = spark.sparkContext.broadcast(_fit(rows, count, trees, leaves, leaf, visits, sample, seed))
         routed = written(rows.mapInArrow(lambda batches: _route(batches, forest.value, nearest), "id long, vec array<double>, leaves array<int>"))
         placed = routed.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))

@@ -161,6 +161,13 @@ def test_nearest_neighbours_of_repeated_ids_are_all_there(spark, copies):
             assert [i for i, _ in got[q]] == want and all(abs(s - best[i]) < 1e-9 for i, s in got[q])
 
 
+def test_nearest_neighbours_of_mixed_lengths_go_by_the_whole_table(spark):
+    rows = [(i, [1.0, i / 10]) for i in range(1, 8)] + [(50, [1.0, 0.11]), (100, [1.0, 0.0, 0.0]), (150, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect())
+    assert out == [(50, 1, 1), (50, 2, 2), (50, 3, 3), (50, 4, 4), (50, 5, 5)]
+
+
 def judge_brute(url, rules):
     host, path = urlfilter.host_path(url)
     fits = [(len(r), r, v) for r, v in rules for h, p in [(r[: r.index("/")], r[r.index("/") :])] if (host == h or host.endswith("." + h)) and path.startswith(p) and host]
