@@ -1,7 +1,7 @@
 """Secret scans whose false positives a random forest removes.
 
-Candidates are long runs of key characters that hold a digit. A random forest, trained
-from labelled findings, judges each by its length, the transitions between its
+Candidates are long runs of key characters that hold a digit, and what is assigned after
+a word such as password or key. A random forest, trained from labelled findings, judges each by its length, the transitions between its
 character classes, how much of it dictionary words cover, the path of its document
 and the neighbouring words. Only DataFrame expressions and the forest of Spark's own
 library run: texts never leave the JVM, and nothing is shuffled.
@@ -24,6 +24,14 @@ from crawlquilt.llm.common import table, text_key
 #: Runs of 16 key characters or more with a digit. It is tried at the start of a run
 #: only, and neither part goes back, so it takes linear time on any text.
 CANDIDATE = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+"
+#: What stands after a word for secrets and ``=`` or ``:``, 8 characters or more without white
+#: space and quotes, less closing punctuation. A value that holds a run as above is left to it. At most 256
+#: characters are read, so that a start costs no more than that in any text.
+ASSIGNED = (
+    r"""(?<=[=:>][ \t"'`]{0,4})(?<=(?i:passw(?:or)?d|passwd|passwort|passphrase|pwd|secret|token|key|auth|credentials?)["'\]]{0,2}[ \t]{0,3}[=:]{1,2}>?[ \t]{0,3}["'`]?)"""
+    rf"""(?![\s"'`=:>])(?![^\s"'`]{{0,256}}{CANDIDATE})(?:[^\s"'`]{{7,255}}[^\s"'`.,;:)\]}}>])"""
+)
+EITHER = f"{CANDIDATE}|{ASSIGNED}"
 #: Characters before and after a candidate in which neighbouring words are looked for.
 NEAR = 48
 LEAST_SCORE = 0.5
@@ -34,6 +42,8 @@ DICTIONARY = ["access", "account", "address", "admin", "api", "archive", "asset"
 _FOR = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_-]?key|auth|credential|private[_-]?key|access[_-]?key|bearer)\W{0,6}$"
 _AGAINST = r"(?i)(commit|sha1|sha256|md5|checksum|digest|etag|uuid|guid|card|phone|isbn|version|revision|integrity|boundary|build|order|ref|id)\W{0,4}$"
 _PREFIX = "^(AKIA|ASIA|ghp_|gho_|ghs_|xoxb-|xoxp-|sk_live_|rk_live_|glpat-|AIza|eyJ)"
+#: References, calls, templates and masks instead of a value.
+_CODE = r"^[$%<{(\[]|[A-Za-z_]\w*[.(][A-Za-z_]|\(|^(.)\1+$|://"
 _TEST_PATH = "(?i)(test|example|sample|demo|fixture|mock|doc)"
 
 
@@ -56,6 +66,8 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "f_lower": share("a-z"),
         "f_signs": share("_/+-"),
         "f_slashes": share("/"),
+        "f_others": F.length(F.regexp_replace(c, "[A-Za-z0-9_/+-]", "")) / n,
+        "f_code": flag(c.rlike(_CODE)),
         "f_vowels": share("aeiouAEIOU"),
         "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64)),
         "f_hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
@@ -89,12 +101,15 @@ def labelled_findings(n: int = 120) -> list[tuple[str, str, str, str, int]]:
             out += alphabet[k]
         return out
 
+    letters = b62[:52]
     prose = ["the rest of the page ", "as it was said before ", "und dann war da noch ", "et puis il y avait ", "que se encuentra en ", ""]
     for i in range(n):
         x = draw("any", i)
         path = ["src/app/main.py", "src3", "web/page.html", "notes.txt", "src11", "conf/settings.yaml"][i % 6]
         p, q = prose[i % 6], [" and more", ".", " der Rest", ""][i % 4]
         names = [DICTIONARY[(x >> (8 * k)) % len(DICTIONARY)] for k in range(6)]
+        made = [names[0].title() + names[1] + str(100 + x % 900), (names[2] + str(x % 10**6)).rjust(9, "q"), names[3].title().replace("a", "4").replace("o", "0").replace("e", "3") + chars(x, "0123456789!", 5)]
+        spoken = "".join(chars(draw(f"sound {k}", i), "bdfglmnprst", 1) + chars(draw(f"vowel {k}", i), "aeiou", 1) + ["", "n", "r", "s"][(i + k) % 4] for k in range(4 + i % 3))
         rows += [
             (p, "AKIA" + chars(draw("key", i), b32, 16), q, path, 1),
             (p + ["token = \"", "auth_token: ", "Bearer "][i % 3], chars(draw("token", i), "0123456789abcdef", [40, 32, 64][i % 3]), "\"" + q if i % 3 == 0 else q, path, 1),
@@ -114,6 +129,13 @@ def labelled_findings(n: int = 120) -> list[tuple[str, str, str, str, int]]:
             (p + "password=", ["your_password_here_1", "changeme-12345678", "example-password-123", "xxxxxxxxxxxxxxxx1"][i % 4], q, path, 0),
             (p + "token = \"", ["placeholder_token_00", "your-api-token-0000", "dummy_token_12345678", "0000000000000000000"][i % 4], "\"" + q, ["tests/test_auth.py", "docs/example.md"][i % 2], 0),
             (p, (names[0] + names[1] + names[2] + names[3])[:30] + str(10 + i), q, path, 0),
+            (p + ["password=", "pwd=\"", "passwd: ", "db_password = '"][i % 4], chars(draw("short", i), b62, 7 + i % 8) + "5", q, path, 1),
+            (p + ["password=", "pwd=\"", "token: ", "secret = '"][i % 4], made[i % 3], q, path, 1),
+            (p + ["api_key=", "secret: ", "auth_token=\"", "key = '"][i % 4], chars(draw("letters", i), letters, 12 + i % 16), q, path, 1),
+            (p + ["password=", "pwd: ", "secret=\"", "passwd = '"][i % 4], chars(draw("signs", i), b62 + "!#$%&*@^?!#$%&*@^?", 8 + i % 9) + "!", q, path, 1),
+            (p + ["password: ", "the key: ", "token: ", "secret: "][i % 4], spoken, q, path, 0),
+            (p + ["password = ", "token=", "key: ", "secret = "][i % 4], [f"{names[0]}.{names[1]}", f"{names[0]}_{names[1]}", f"get_{names[2]}(", f"${{{names[3].upper()}}}", f"<{names[0]}>", "*" * (8 + i % 5), f"{names[0]}{names[1].title()}"][i % 7], q, path, 0),
+            (p + ["password=", "api_key=\"", "token: ", "secret: '"][i % 4], ["changeme", "your_password", "placeholder", "xxxxxxxx", "password", "example-key", "your-token-here", "undefined"][i % 8], q, path, 0),
         ]
     return rows
 
@@ -137,8 +159,8 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     start counts characters from 0. Splitting a text at its candidates gives what stands
     between them, and so each one's place and neighbours."""
     where = F.col(path) if path in docs.columns else F.lit("")
-    rows = docs.select("doc_id", F.coalesce(where.cast("string"), F.lit("")).alias("path"), "text").where(F.col("text").rlike(CANDIDATE))
-    rows = rows.select("doc_id", "path", text_key(F.col("text")).alias("text_hash"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
+    rows = docs.select("doc_id", F.coalesce(where.cast("string"), F.lit("")).alias("path"), "text").where(F.col("text").rlike(EITHER))
+    rows = rows.select("doc_id", "path", text_key(F.col("text")).alias("text_hash"), F.regexp_extract_all("text", F.lit(EITHER), F.lit(0)).alias("found"), F.split("text", EITHER, -1).alias("between"))
     gap = lambda i: F.get("between", i)
     ends = F.transform("found", lambda x, i: F.struct(x.alias("candidate"), F.right(gap(i), F.lit(NEAR)).alias("before"), F.left(gap(i + 1), F.lit(NEAR)).alias("after"), F.length(gap(i)).alias("gap")))
     rows = rows.select("doc_id", "path", "text_hash", ends.alias("at"))

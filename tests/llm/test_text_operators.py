@@ -191,6 +191,22 @@ def test_secret_candidates_have_exact_places(spark):
     assert secrets.candidates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_assigned_values_are_candidates_and_judged(spark):
+    model = secrets.train(secrets.default_findings(spark))
+    values = ["Tr0ub4dor12", "hunter2024", "abcdEFGHijklMNOPqrst", "aB3$kd9!xQ2#"]
+    rows = [(1, f"password={values[0]}, then"), (2, f'pwd="{values[1]}" then'), (3, f"api_key={values[2]}."), (4, f"then password: {values[3]}"), (5, f'"client_secret": "{values[2]}"')]
+    no = [(10, "the password: important"), (11, "token = self.request.token"), (12, "password=changeme"), (13, "secret = ${DB_SECRET}")]
+    none = [(20, "password=short"), (21, "Tr0ub4dor12 hunter2024"), (22, "keyword abcdEFGHijklMNOPqrst")]
+    out = secrets.scan(spark.createDataFrame(rows + no + none, "doc_id long, text string"), model).collect()
+    texts = dict(rows + no)
+    assert {r.doc_id: r.is_secret for r in out} == {i: i < 10 for i in texts} and len(out) == len(texts)
+    assert [r.candidate for r in sorted(out, key=lambda r: r.doc_id)][:5] == [*values, values[2]]
+    assert all(texts[r.doc_id][r.start : r.start + len(r.candidate)] == r.candidate for r in out)
+    # A long run within an assigned value is found as without the word.
+    odd = "password=" + "=key=" * 20000 + "0123456789abcdef0 token: a.b$c.0123456789abcdef0123 end"
+    assert [r.candidate for r in secrets.candidates(spark.createDataFrame([(1, odd)], "doc_id long, text string")).collect()][-1] == "0123456789abcdef0123"
+
+
 def least_cost(points, penalties, window):
     best = {0: 0}
     for j in range(1, len(points)):
