@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from crawlquilt.llm.common import arrow_schema, columns_batch, matching, table, text_key, written
 
 RATE = 0.08
-#: Items with fewer normal bytes take no part: they say too little to be a passage.
+#: Items with fewer normal bytes count where they stand unchanged, as whole words.
 MIN_BYTES = 32
 #: Normal bytes of the items that one pass looks for.
 CHUNK_BYTES = 8 << 20
@@ -78,10 +78,11 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
 class Matcher:
     """Finds the items in normal texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_bytes: int = 0):
         import ahocorasick
 
-        self.items = [(i, s, int(rate * len(s))) for i, s in items]
+        self.items = [(i, s, int(rate * len(s)) if len(s) >= min_bytes else 0) for i, s in items]
+        self.whole = [len(s) < min_bytes for _, s in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, s, e) in enumerate(self.items):
             for a, piece in pieces(s, e):
@@ -96,10 +97,14 @@ class Matcher:
         """(item id, distance, start, stop) of the nearest occurrence of each item,
         the first among equals. The start is exact for the reported stop."""
         offsets: dict[int, set[int]] = {}
+        words: dict[int, int] = {}
         for end, where in self.find.iter(text):
             for k, a in where:
-                offsets.setdefault(k, set()).add(end - a)
-        out = []
+                if not self.whole[k]:
+                    offsets.setdefault(k, set()).add(end - a)
+                elif k not in words and (end == a or text[end - a - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                    words[k] = end - a
+        out = [(self.items[k][0], 0, a, a + len(self.items[k][1])) for k, a in sorted(words.items())]
         for k, starts in sorted(offsets.items()):
             item_id, s, e = self.items[k]
             best = (e + 1, 0, 0)
@@ -142,34 +147,35 @@ def _windows(starts: list[int], e: int, m: int, n: int) -> Iterator[tuple[int, i
         yield a, b
 
 
-def _chunks(benchmark: DataFrame, min_bytes: int, chunk_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _chunks(benchmark: DataFrame, chunk_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items as normal texts, at most about ``chunk_bytes`` at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // chunk_bytes))
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else items
-        found = sorted((r[0], s) for r in part.collect() if len(s := normal(r[1])) >= min_bytes)
+        found = sorted((r[0], s) for r in part.collect() if (s := normal(r[1])))
         if found:
             yield found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_bytes: int = MIN_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, item_id, distance, start, stop (in the normal text), text_hash: the
-    nearest occurrence of each item in each document that holds it.
+    nearest occurrence of each item in each document that holds it. Items under
+    ``min_bytes`` count without edits and between word boundaries only.
 
     A null or empty text holds nothing; null ids of documents are kept as they are,
-    items with a null id or text are left out, and an item given twice counts once.
+    items with a null id or text, or no letter or digit, are left out, and an item given twice counts once.
     Rows that share a doc_id are searched each for itself, and the text hash tells
     them apart; a document given twice gives its rows twice. Empty tables give no
     rows, and further columns are not read."""
     schema = arrow_schema(SCHEMA)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_hash"))
     out = None
-    for items in _chunks(benchmark, min_bytes, chunk_bytes):
+    for items in _chunks(benchmark, chunk_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            match = Matcher(items, rate)
+            match = Matcher(items, rate, min_bytes)
             for batch in batches:
                 rows: list[tuple] = []
                 for i, key in enumerate(batch.column(2).to_pylist()):

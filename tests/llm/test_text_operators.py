@@ -316,3 +316,12 @@ def test_decontamination_in_chunks_is_the_same(spark):
     assert decontam.clean(docs, bench).count() == 0
     more = docs.selectExpr("*", "1 AS item_id", "2 AS _id", "3 AS _key", "4 AS text_hash", "5 AS start")
     assert decontam.clean(more, bench.limit(0)).columns == more.columns and decontam.matches(more, bench).count() == 12
+
+
+def test_decontamination_finds_short_items_as_whole_words(spark):
+    items = [(1, "Who wrote Faust?"), (2, "x"), (3, "?!"), (4, "a" * 31)]
+    docs = [(1, "so: who wrote Faust"), (2, "who wrote fausto"), (3, "xx who wrote faus x"), (4, "b" + "a" * 31), (5, "who  WROTE\nfaust who wrote faust"), (6, "a" * 30)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = sorted((r.doc_id, r.item_id, r.distance, r.start, r.stop) for r in decontam.matches(docs, bench).collect())
+    assert out == [(1, 1, 0, 3, 18), (3, 2, 0, 18, 19), (5, 1, 0, 0, 15)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [2, 4, 6]
