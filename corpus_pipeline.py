@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
+    """One document of each group of near duplicates stays, in one row."""
+    return jaccard.without_repeats(written(jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,6 +349,15 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     return matching(docs, written(gone), "left_anti")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each doc_id and text; null ids, and null texts, are equal.
+    Only rows that are repeated are shuffled with their texts."""
+    keys = docs.select(F.col("doc_id").cast("long").alias("_id"), text_key(F.col("text")).alias("_key"))
+    repeated = written(keys.groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"))
+    again = matching(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return matching(docs, repeated, "left_anti").unionByName(again)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 

@@ -254,6 +254,17 @@ def test_pipeline_line_dedup_takes_short_repeated_runs(spark):
     assert all(r.n_chars == len(r.text) and (i == 50 or "the end" in r.text) for i, r in out.items())
 
 
+def test_pipeline_jaccard_join_keeps_one_row_of_each_document(spark):
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven", "other words stand in this text here"
+    rows = [(None, a)] * 3 + [(5, b), (5, b), (6, b), (7, "alone"), (8, None), (8, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "s", k) for k, r in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    out = corpus_pipeline.jaccard_join(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(None, a), (5, b), (7, "alone"), (8, None), (8, "")], key=str)
+
+
 def test_registry_has_one_query_for_each_operator():
     from crawlquilt.llm import registry
 
