@@ -2,11 +2,16 @@
 
 Texts are bags of hashed n-grams (words and pairs of words). Two generative models
 are fitted, one on target documents (labelled good and not toxic), one on all raw
-documents; a document's importance weight is the logarithm of the ratio of its
-probabilities under both. Documents are drawn without replacement in proportion to
+documents, whose counts are scaled to the target's size, so that the same smoothing
+makes rare n-grams say little in both. A document's importance weight is the logarithm
+of the ratio of its probabilities under both, tempered by its length: that of
+``LENGTH`` of its n-grams. Documents are drawn without replacement in proportion to
 their weights by the Gumbel top-k trick: those with the k largest sums of log weight
 and Gumbel noise are the sample, the others are rejected. ``k`` is the number of
-documents that weigh no less than all but a small share of the target documents.
+documents that weigh no less than all but a small share of the target documents, and
+a target document is weighed by the model without it: it is judged as one that the
+model hasn't seen. As good and bad weights lie tens apart and the noise has a deviation
+of 1.3, the draw decides only between documents near the cut.
 
 The raw model counts every document, as do the weights and the selection; only the
 target model rests on a bounded sample of labelled rows. The driver gets one row for
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,10 @@ from crawlquilt.llm.common import WordHashes, arrow_schema, columns_batch, match
 
 #: log2 of the number of n-gram buckets.
 BITS = 16
-SMOOTHING = 0.5
+#: Added to the count of each bucket, in target and scaled raw text alike.
+SMOOTHING = 5.0
+#: N-grams whose log weight a document's is, and those that are added to its own as neutral ones.
+LENGTH, NEUTRAL = 1000, 20
 #: At most so many labelled target documents are learned from, chosen by a hash of the id.
 MOST_LABELLED = 100_000
 #: Share of the target documents that may weigh less than the least weight counted in k.
@@ -73,20 +82,53 @@ def target_ids(labels: DataFrame, most: int = MOST_LABELLED) -> list[int]:
     return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()]
 
 
-def fit(docs: DataFrame, ids: list[int], bits: int = BITS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """By bucket, the log of the ratio of its probabilities in target and raw text."""
+@dataclass(frozen=True)
+class Model:
+    """By bucket, counts in target text and those that raw text of its size would have."""
+
+    target: np.ndarray
+    expected: np.ndarray
+    smoothing: float
+
+    def ratio(self) -> np.ndarray:
+        """By bucket, the log of the ratio of its probabilities in target and raw text."""
+        return np.log((self.target + self.smoothing) / (self.expected + self.smoothing))
+
+    def without(self, buckets: np.ndarray) -> float:
+        """The log ratio of a target document's n-grams under the model without it."""
+        own, n = np.unique(buckets, return_counts=True)
+        left = 1 - len(buckets) / max(self.target.sum(), 1)
+        return float((n * np.log((self.target[own] - n + self.smoothing) / (self.expected[own] * left + self.smoothing))).sum())
+
+
+def fit(docs: DataFrame, ids: list[int], bits: int = BITS, smoothing: float = SMOOTHING) -> Model:
+    """Both models. N-grams are counted batch by batch."""
     schema = arrow_schema("bucket int, raw long, target long")
     target = docs.sparkSession.sparkContext.broadcast(frozenset(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, good = Features(bits), target.value
         n = np.zeros((2, 1 << bits), dtype=np.int64)
+        held: tuple[list, list] = ([], [])
+
+        def count() -> None:
+            for k, found in enumerate(held):
+                if found:
+                    n[k] += np.bincount(np.concatenate(found), minlength=1 << bits)
+                    found.clear()
+
+        size = 0
         for batch in batches:
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                counts = np.bincount(features(batch.column(1)[i].as_py()), minlength=1 << bits)
-                n[0] += counts
+                found = features(batch.column(1)[i].as_py())
+                held[0].append(found)
                 if doc_id in good:
-                    n[1] += counts
+                    held[1].append(found)
+                size += len(found)
+                if size > 1 << 20:
+                    count()
+                    size = 0
+        count()
         there = np.flatnonzero(n[0])
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(n[0][there]), pa.array(n[1][there])], schema=schema)
 
@@ -94,25 +136,29 @@ def fit(docs: DataFrame, ids: list[int], bits: int = BITS, smoothing: float = SM
     n = np.zeros((2, 1 << bits))
     for k, name in enumerate(("raw", "target")):
         n[k, rows.column("bucket").to_numpy()] = rows.column(name).to_numpy()
-    raw = (n[0] + smoothing) / (n[0] + smoothing).sum()
-    good = (n[1] + smoothing * n.shape[1] * raw) / (n[1].sum() + smoothing * n.shape[1])
-    return np.log(good / raw)
+    return Model(n[1], n[0] * (n[1].sum() / max(n[0].sum(), 1)), smoothing)
 
 
-def weigh(docs: DataFrame, ids: list[int], ratio: np.ndarray, bits: int = BITS, seed: int = SEED) -> DataFrame:
+def weigh(docs: DataFrame, ids: list[int], model: Model, bits: int = BITS, seed: int = SEED) -> DataFrame:
     """doc_id, text_hash, weight, gumbel_key, sort_key, target of every row."""
     schema = arrow_schema(_SCORED)
-    model = docs.sparkSession.sparkContext.broadcast((frozenset(ids), ratio))
+    held = docs.sparkSession.sparkContext.broadcast((frozenset(ids), model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, (good, ratio) = Features(bits), model.value
+        features, (good, model) = Features(bits), held.value
+        ratio = model.ratio()
+
+        def weight(text: str | None, own: bool) -> float:
+            found = features(text)
+            return LENGTH * (model.without(found) if own else float(ratio[found].sum())) / (len(found) + NEUTRAL)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            weights = np.array([ratio[features(batch.column(1)[i].as_py())].sum() for i in range(batch.num_rows)])
+            target = [x in good for x in batch.column(0).to_pylist()]
+            weights = np.array([weight(batch.column(1)[i].as_py(), own) for i, own in enumerate(target)])
             keys = weights + noise(batch.column(3).to_numpy(zero_copy_only=False), seed)
-            doc_ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([doc_ids, batch.column(2), pa.array(weights), pa.array(keys), pa.array(ordered(keys)), pa.array([x in good for x in doc_ids.to_pylist()])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weights), pa.array(keys), pa.array(ordered(keys)), pa.array(target)], schema=schema)
 
     key = text_key(F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"), F.xxhash64("doc_id", key).alias("draw")).mapInArrow(run, _SCORED)
@@ -138,15 +184,15 @@ def kth_largest(rows: DataFrame, k: int, column: str = "sort_key", digit: int =
 def select(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, target_loss: float = TARGET_LOSS, seed: int = SEED) -> DataFrame:
     """doc_id, text_hash, weight, gumbel_key and kept of every row of ``docs``.
 
-    A null or empty text has no n-grams and the weight 0, whatever its length a text
-    counts whole. Rows that share a doc_id are drawn each for itself; rows that share
+    A null or empty text has no n-grams and the weight 0; a text of any length counts
+    whole. Rows that share a doc_id are drawn each for itself; rows that share
     id and text have the same key, so they are kept or rejected together (k then grows
     by those that tie). Without labelled target documents nothing can be judged: all
     weights are 0 and all rows are kept. An empty table gives no rows; further columns
     are not read."""
     ids = target_ids(labels, most_labelled)
-    ratio = fit(docs, ids) if ids else np.zeros(1 << BITS)
-    scored = written(weigh(docs, ids, ratio, seed=seed))
+    model = fit(docs, ids) if ids else Model(np.zeros(1 << BITS), np.zeros(1 << BITS), SMOOTHING)
+    scored = written(weigh(docs, ids, model, seed=seed))
     least = scored.where("target").agg(F.percentile("weight", F.lit(target_loss))).first()[0]
     k = scored.where(F.col("weight") >= least).count() if least is not None else 0
     kept = F.col("sort_key") >= kth_largest(scored, k) if k else F.lit(True)
