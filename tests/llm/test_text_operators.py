@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from crawlquilt.llm import decontam, langid, licenses, linededup, packing, quality, secrets
 
@@ -22,23 +24,21 @@ def odd_rows() -> list[tuple]:
 
 
 def brute_lines(docs: list[tuple[int, str]], least: int) -> dict[int, list[int]]:
-    seen, gone = set(), {}
-    for doc_id, text in sorted(docs):
-        found = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
-        out = set()
-        for a in range(len(found)):
-            b, n = a, 0
-            while b < len(found) and n < least:
-                n += len(found[b][1].split())
-                b += 1
-            if n < least:
-                continue
-            run = tuple(x for _, x in found[a:b])
-            if run in seen:
-                out |= {i for i, _ in found[a:b]}
-            seen.add(run)
-        gone[doc_id] = sorted(out)
-    return gone
+    """The later copies of all maximal common runs, by comparing each two places."""
+    found = [(doc_id, [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]) for doc_id, text in sorted(docs)]
+    gone: dict[int, set[int]] = {doc_id: set() for doc_id, _ in docs}
+    for k, (_, one) in enumerate(found):
+        for n, (doc_id, two) in enumerate(found[k:]):
+            for a in range(len(one)):
+                for b in range(a + 1 if n == 0 else 0, len(two)):
+                    if one[a][1] != two[b][1] or (a and b and one[a - 1][1] == two[b - 1][1]):
+                        continue
+                    size = 0
+                    while a + size < len(one) and b + size < len(two) and one[a + size][1] == two[b + size][1]:
+                        size += 1
+                    if sum(len(x.split()) for _, x in two[b : b + size]) >= least:
+                        gone[doc_id] |= {i for i, _ in two[b : b + size]}
+    return {doc_id: sorted(x) for doc_id, x in gone.items()}
 
 
 @pytest.mark.parametrize("least", [1, 6, 20])
@@ -53,6 +53,14 @@ def test_line_dedup_equals_brute_force(spark, least):
     assert all(r.text == "\n".join(x for i, x in enumerate(texts[r.doc_id].split("\n")) if i not in want[r.doc_id]) for r in out)
 
 
+def test_line_dedup_takes_the_whole_of_a_run(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "HOT", 3)
+    long = " ".join(f"w{i}" for i in range(50))
+    docs = [(i, f"own {i}\n{'short head' if i % 2 else ''}\n{long}\n\nshort tail\nown end {i}") for i in range(12)]
+    out = {r.doc_id: list(r.removed) for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {0: [], 1: [2, 4], **{i: [1, 2, 4] if i % 2 else [2, 4] for i in range(2, 12)}}
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = odd_rows() + [(20, "a " * 60, "en", "s", 120), (21, "a " * 60, "en", "s", 120), (22, "  " + "a " * 60 + "\r\nrest", "en", "s", 1)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS removed", "'x' AS cut", "2 AS key", "3 AS _id", "4 AS _key", "5 AS pos", "6 AS line")
@@ -85,11 +93,11 @@ def test_license_base_places_equal_brute_force(spark):
 
 def test_license_notices_are_found_by_their_phrases(spark):
     rng = random.Random(2)
-    docs = [(i, f"{words(rng, 30)} {text.upper()}. {words(rng, 30)}") for i, (text, _) in enumerate(licenses.TEMPLATES.values())]
+    docs = [(200 + i, f"{words(rng, 30)} {text.upper()}. {words(rng, 30)}") for i, (text, _) in enumerate(licenses.TEMPLATES.values())]
     docs += [(100, words(rng, 50)), (101, "Permission is hereby granted to nobody, free of charge"), *[(r[0], r[1]) for r in odd_rows()]]
     out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for i, label in enumerate(licenses.TEMPLATES):
-        assert licenses.SAME.get(label, label) in out[i].labels.split(","), label
+        assert licenses.SAME.get(label, label) in out[200 + i].labels.split(","), label
     assert out[100].labels == out[101].labels == out[7].labels == "" and out[7].n_words == 0 and out[10].n_words == 1
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -118,6 +126,39 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert {i for i, r in out.items() if r.kept} == {i for i, r in out.items() if r.gumbel_key >= keys[k - 1]}
 
 
+def test_quality_weighs_target_documents_as_if_unseen(spark):
+    docs, labels = labelled(spark, 60)
+    ids = quality.target_ids(labels)
+    own = {r.doc_id: r.weight for r in quality.weigh(docs, ids, quality.fit(docs, ids)).collect()}
+    for i in (ids[0], ids[-1]):
+        others = [x for x in ids if x != i]
+        again = quality.weigh(docs.where(f"doc_id = {i}"), others, quality.fit(docs, others)).first()
+        assert abs(again.weight - own[i]) < 1e-9 and own[i] != 0
+    counts: list[dict[int, int]] = [{}, {}]
+    features, texts = quality.Features(quality.BITS), {r.doc_id: r.text for r in docs.collect()}
+    for i, t in texts.items():
+        for b in features(t).tolist():
+            for k in range(1 + (i in ids)):
+                counts[k][b] = counts[k].get(b, 0) + 1
+    share = sum(counts[1].values()) / sum(counts[0].values())
+    for i in set(texts) - set(ids):
+        found = features(texts[i]).tolist()
+        want = sum(np.log((counts[1].get(b, 0) + quality.SMOOTHING) / (counts[0][b] * share + quality.SMOOTHING)) for b in found)
+        assert abs(own[i] - quality.LENGTH * want / (len(found) + quality.NEUTRAL)) < 1e-6
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_quality_holds_for_labels_that_it_has_not_seen(spark, sf):
+    root = f"/root/testdata/sf{sf}"
+    if not os.path.exists(root):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    seen = "crc32(CAST(doc_id AS STRING)) % 2 = 0"
+    judged = labels.where(f"NOT {seen}").join(quality.select(docs, labels.where(seen)), "doc_id")
+    kept = {(r.quality, r.toxic): r.share for r in judged.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()}
+    assert kept[1, 0] >= 0.97 and kept[0, 0] <= 0.05, kept
+
+
 def test_quality_of_odd_rows(spark):
     _, labels = labelled(spark, 20)
     odd = spark.createDataFrame(odd_rows(), DOCS)
