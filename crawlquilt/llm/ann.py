@@ -1,11 +1,16 @@
 """Approximate nearest neighbours with a forest of random-projection trees.
 
-Each tree halves the vectors by hyperplanes between two random ones, at the median.
-The trees are fitted on a bounded sample, and every vector is in one leaf of each. A
-query walks all trees with one shared priority queue: the next leaf is always the one
-behind the smallest margin that was not taken, in whichever tree, until it has
-visited a fixed share of all leaves. The vectors of those leaves are candidates, and
-they are ranked by their exact cosine in double precision.
+Each tree halves the vectors by hyperplanes between two random ones, at the median,
+down to leaves of about ``LEAF`` vectors, so their number grows with the table. The
+trees are fitted on a bounded sample, and every vector is in one leaf of each. A query
+walks all trees with one shared priority queue: the next leaf is always the one behind
+the smallest margin that was not taken, in whichever tree, until it has visited a number
+of leaves. The vectors of those leaves are candidates, and they are ranked by their
+exact cosine in double precision.
+
+How many leaves to visit is a property of the vectors: a bounded number of queries is
+compared with all vectors, and as many leaves are visited as give these the wanted
+recall. Vectors with structure need few, whatever the size of the table.
 
 Leaves are split into blocks of bounded size, so a leaf that a common vector fills is
 the work of many tasks; a query goes to all blocks of its leaves. Tasks read blocks as
@@ -26,15 +31,15 @@ from pyspark.sql import functions as F
 from crawlquilt.llm.common import arrow_schema, columns_batch, scratch, table, written
 
 TREES = 20
-#: Leaves of a tree, at most; a small table has fewer, of LEAF vectors or more.
-LEAVES = 128
-LEAF = 32
-#: Share of all leaves of all trees that a query visits.
-VISITS = 0.04
-#: Leaves that it visits at least.
-LEAST_VISITS = 64
-#: Vectors that the trees are fitted on, about; all vectors are in the leaves.
-SAMPLE = 20_000
+#: Vectors in a leaf, about.
+LEAF = 64
+#: Bytes of the trees' planes, at most: they go to every task. 4,096 leaves of 64
+#: dimensions have 21 MB; larger tables than this allows for have larger leaves.
+MOST_PLANES = 64 << 20
+#: Vectors that the trees are fitted on, about, for each leaf and at least; all vectors are in the leaves.
+SAMPLE = (16, 20_000)
+#: Queries whose true neighbours tell how many leaves to visit, and the share of them to find.
+JUDGED, RECALL = 200, 0.96
 #: Vectors in a block of a leaf, about.
 BLOCK = 4096
 NEAREST = 5
@@ -44,15 +49,15 @@ SEED = 11
 class Forest:
     """Trees in arrays: node 1 is a root, node ``k`` has the children ``2k`` and ``2k + 1``."""
 
-    def __init__(self, sample: np.ndarray, trees: int, leaves: int, visits: float, seed: int):
+    def __init__(self, sample: np.ndarray, trees: int, leaves: int, seed: int):
         rng = np.random.default_rng(seed)
         dims = sample.shape[1]
-        self.leaves, self.depth = leaves, leaves.bit_length() - 1
-        self.planes, self.medians = np.zeros((trees, leaves, dims)), np.zeros((trees, leaves))
+        self.leaves, self.depth, self.visits = leaves, leaves.bit_length() - 1, trees * leaves
+        self.planes, self.medians = np.zeros((trees, leaves, dims), dtype=np.float32), np.zeros((trees, leaves))
         for t in range(trees):
-            node = np.ones(len(sample), dtype=np.int64)
+            parts = {1: np.arange(len(sample))}
             for k in range(1, leaves):
-                here = np.flatnonzero(node == k)
+                here = parts.pop(k)
                 plane = np.zeros(dims)
                 for _ in range(5):  # two equal vectors have no plane between them
                     if len(here) > 1 and not plane.any():
@@ -63,8 +68,8 @@ class Forest:
                 self.planes[t, k] = plane / np.sqrt((plane**2).sum())
                 side = sample[here] @ self.planes[t, k]
                 self.medians[t, k] = np.median(side) if len(here) else 0.0
-                node[here] = 2 * k + (side > self.medians[t, k])
-        self.visits = max(LEAST_VISITS, round(visits * trees * leaves))
+                right = side > self.medians[t, k]
+                parts[2 * k], parts[2 * k + 1] = here[~right], here[right]
 
     def margins(self, unit: np.ndarray, tree: int) -> np.ndarray:
         return unit @ self.planes[tree].T - self.medians[tree]
@@ -94,7 +99,27 @@ class Forest:
         return out
 
 
+    def places(self, margins: np.ndarray) -> np.ndarray:
+        """The place of every leaf (by tree) in a query's queue, from 1, equal ones all at the
+        last place; ``margins`` by tree and node."""
+        far = np.zeros((len(margins), 1))
+        for level in range(self.depth):
+            here = margins[:, 1 << level : 2 << level]
+            both = np.repeat(far, 2, axis=1)
+            both[:, 0::2] = np.where(here > 0, np.maximum(far, np.abs(here)), far)
+            both[:, 1::2] = np.where(here > 0, far, np.maximum(far, np.abs(here)))
+            far = both
+        return np.searchsorted(np.sort(far.ravel()), far, side="right")
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component under 1: no
+    rounding, and no square that is too large or too small for a double."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if x.size else x
+
+
 def _units(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
@@ -123,17 +148,57 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _fit(rows: DataFrame, count: int, trees: int, leaves: int, leaf: int, visits: float, sample: int, seed: int) -> Forest:
-    draw = 1 << 30
-    share = min(draw, -(-draw * sample // max(count, 1)))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(draw)) < share).limit(2 * sample).select("id", "vec").toArrow().sort_by("id")
+def _fit(rows: DataFrame, count: int, dims: int, trees: int, leaf: int, sample: tuple[int, int], seed: int) -> Forest:
     n = 1
-    while 2 * n <= leaves and 2 * n * leaf <= count:
+    while 2 * n * leaf <= count and 8 * n * trees * dims <= MOST_PLANES:
         n *= 2
-    return Forest(_units(_matrix(chosen.column("vec").combine_chunks())), trees, n, visits, seed)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", nearest: int = NEAREST, trees: int = TREES, leaves: int = LEAVES, leaf: int = LEAF, visits: float = VISITS, sample: int = SAMPLE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    want = max(sample[0] * n, sample[1])
+    draw = 1 << 30
+    share = min(draw, -(-draw * want // max(count, 1)))
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(draw)) < share).limit(2 * want).select("id", "vec").toArrow().sort_by("id")
+    return Forest(_units(_matrix(chosen.column("vec").combine_chunks())), trees, n, seed)
+
+
+def true_nearest(rows: DataFrame, ids: np.ndarray, x: np.ndarray, nearest: int) -> list[tuple[int, int, list[float]]]:
+    """(query, neighbour, its vector) of the exact nearest of a few queries, by one pass
+    over all rows; each batch sends on ``nearest`` rows of each query."""
+    held = rows.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("query_id long, vec_id long, score double")
+        for batch in batches:
+            if batch.num_rows:
+                order = np.argsort(found := batch.column(0).to_numpy(), kind="stable")
+                yield columns_batch(_best(*held.value, found[order], _matrix(batch.column(1))[order], nearest), schema)
+
+    top = _ranked(rows.mapInArrow(run, "query_id long, vec_id long, score double"), nearest).select("query_id", F.col("vec_id").alias("id"))
+    return [(r["query_id"], r["id"], r["vec"]) for r in rows.join(F.broadcast(top), "id").collect()]
+
+
+def visits_for(recall: float, forest: Forest, rows: DataFrame, asked: DataFrame, nearest: int, judged: int = JUDGED) -> int:
+    """How many leaves queries must visit for this recall, as ``judged`` of them tell."""
+    some = asked.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(judged).toArrow()
+    if not some.num_rows:
+        return 1
+    ids, x = some.column("id").to_numpy(), _matrix(some.column("vec").combine_chunks())
+    margins = np.stack([forest.margins(_units(x), t) for t in range(len(forest.planes))], 1)
+    found = sorted(true_nearest(rows, ids, x, nearest))
+    if not found:
+        return 1
+    leaves = forest.route(_units(np.array([v for *_, v in found], dtype=np.float64)))
+    place = {int(q): forest.places(m) for q, m in zip(ids, margins, strict=True)}
+    trees = np.arange(len(forest.planes))
+    first = np.sort([place[q][trees, leaf].min() for (q, *_), leaf in zip(found, leaves, strict=True)])
+    return int(first[min(len(first), -(-int(recall * 1000) * len(first) // 1000)) - 1])
+
+
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", nearest: int = NEAREST, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL, sample: tuple[int, int] = SAMPLE, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the nearest vectors found.
 
     Vectors that ``usable`` leaves out are neither queries nor candidates; those of another
@@ -151,7 +216,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", n
         if not count:
             return spark.createDataFrame([], schema)
         asked = usable(queries, column, dims).select("id", "vec")
-        forest = spark.sparkContext.broadcast(_fit(rows, count, trees, leaves, leaf, visits, sample, seed))
+        fitted = _fit(rows, count, dims, trees, leaf, sample, seed)
+        fitted.visits = visits_for(recall, fitted, rows, asked, nearest)
+        forest = spark.sparkContext.broadcast(fitted)
         routed = written(rows.mapInArrow(lambda batches: _route(batches, forest.value, nearest), "id long, vec array<double>, leaves array<int>"))
         placed = routed.select("id", "vec", F.posexplode("leaves").alias("tree", "leaf"))
         # One row for each leaf: trees * leaves at most.
@@ -162,9 +229,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, column: str = "embedding", n
         probes = probes.join(parts, ["tree", "leaf"]).select(*key[:2], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "vec")
         blocks = members.unionByName(probes).repartition(*key).sortWithinPartitions(*key, "side", "id")
         found = blocks.mapInArrow(lambda batches: _rank(batches, nearest), "query_id long, vec_id long, score double")
-        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return keep(best.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score"))
+        return keep(_ranked(found, nearest))
 
 
 def _route(batches: Iterator[pa.RecordBatch], forest: Forest, nearest: int) -> Iterator[pa.RecordBatch]:
@@ -239,7 +304,7 @@ def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, ne
         near &= rough >= np.repeat(of_id, np.diff(np.r_[firsts, len(ids)]), axis=1) - 1e-9
     rows, columns = np.nonzero(near)
     # The exact score of what is left: its rounding doesn't depend on the block.
-    a, b = q[rows], x[columns]
+    a, b = _scaled(q[rows]), _scaled(x[columns])
     score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
     order = np.lexsort((-score, ids[columns], rows))
     rows, found, score = rows[order], ids[columns[order]], score[order]

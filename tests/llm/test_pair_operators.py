@@ -161,6 +161,57 @@ def test_nearest_neighbours_of_repeated_ids_are_all_there(spark, copies):
             assert [i for i, _ in got[q]] == want and all(abs(s - best[i]) < 1e-9 for i, s in got[q])
 
 
+def test_nearest_neighbours_of_huge_and_tiny_components(spark):
+    rows = [(50, [1e200, 1e200]), (1, [1e-200, 1.1e-200]), (2, [1e308, -1e308]), (3, [5e-324, 0.0]), (4, [3.0, 4.0])]
+    out = sorted((r.rank, r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")).collect())
+    assert [i for _, i, _ in out] == [1, 4, 3, 2] and all(abs(s - w) < 1e-12 for (*_, s), w in zip(out, [2.1 / np.sqrt(2 * 2.21), 7 / np.sqrt(50), np.sqrt(0.5), 0], strict=True))
+
+
+def test_places_of_leaves_are_the_order_of_the_queue():
+    rng = np.random.default_rng(18)
+    x = ann._units(rng.normal(size=(500, 6)))
+    forest = ann.Forest(x, 3, 16, 5)
+    for q in x[:20]:
+        margins = np.stack([forest.margins(q[None], t)[0] for t in range(3)])
+        place = forest.places(margins)
+        order = [place[t, leaf] for t, leaf in forest.search(margins.tolist())]
+        assert order == sorted(order) and len(order) == 48 and order[-1] >= 40
+
+
+def share_compared(spark, x):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    asked = df.where("vec_id % 50 = 0")
+    out = ann.nearest(df, asked, leaf=32).collect()
+    queries = list(range(0, len(x), 50))[:100]
+    want = nearest_brute(list(range(len(x))), x, queries, 5)
+    got = {(r.query_id, r.vec_id) for r in out}
+    recall = sum((q, i) in got for q in queries for i, _ in want[q]) / (5 * len(queries))
+    rows = ann.usable(df, "embedding", x.shape[1])
+    forest = ann._fit(rows, len(x), x.shape[1], ann.TREES, 32, ann.SAMPLE, ann.SEED)
+    return recall, ann.visits_for(ann.RECALL, forest, rows, ann.usable(asked, "embedding", x.shape[1]), 5) / forest.leaves, forest.leaves
+
+
+def test_nearest_neighbours_compare_a_falling_share(spark):
+    rng = np.random.default_rng(19)
+    made = lambda n: rng.normal(size=(n // 40, 24))[rng.integers(0, n // 40, n)] + 0.15 * rng.normal(size=(n, 24))
+    few, many = share_compared(spark, made(2500)), share_compared(spark, made(50_000))
+    assert few[0] >= 0.9 and many[0] >= 0.9 and many[2] == 16 * few[2]
+    assert many[1] < few[1] / 4 and many[1] < 0.05
+
+
+def test_nearest_neighbours_of_the_test_tables(spark):
+    import os
+
+    if not os.path.exists("/root/testdata/sf0.1"):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
+    queries = [i for i in ids if i % 50 == 0]
+    want = nearest_brute(ids, x, queries, 5)
+    out = {(r.query_id, r.vec_id) for r in ann.op4_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()}
+    assert len(out) == 5 * len(queries) and sum((q, i) in out for q in queries for i, _ in want[q]) >= 0.9 * len(out)
+
+
 def test_nearest_neighbours_of_mixed_lengths_go_by_the_whole_table(spark):
     rows = [(i, [1.0, i / 10]) for i in range(1, 8)] + [(50, [1.0, 0.11]), (100, [1.0, 0.0, 0.0]), (150, [0.0, 1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
