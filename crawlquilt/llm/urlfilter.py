@@ -8,8 +8,11 @@ and so on until no false positives are left. For every key of the corpus the fir
 level that lacks it then tells exactly whether it is listed: a lookup needs neither
 a join nor the list.
 
-Only the filters go to the tasks, and their size is known from the counts before
-they are built; beyond ``most_bytes`` the keys are joined instead.
+Only the filters go to the tasks. Keys are dealt by their hash to as many groups as it
+takes for the filters of one to stay under ``most_bytes``, and there is one pass over
+the pages for each group: it looks only for keys of its group, and hands on the best rule
+found so far. The cascades of a group, one for each verdict, are built level by level
+together.
 """
 
 from __future__ import annotations
@@ -30,10 +33,16 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 DEFAULT = "allow"
 #: False-positive rate of level 1 and of all others.
 RATES = (0.01, 0.5)
-MOST_BYTES = 256 << 20
+#: Bytes of the filters that one pass over the pages holds, about.
+MOST_BYTES = 64 << 20
+#: Keys that so many levels don't tell apart are listed; 128-bit hashes leave none in practice.
 MOST_LEVELS = 64
+#: Bits of a filter that one row carries to the driver.
+BLOCK_BITS = 1 << 19
+VERDICTS = ["block", "allow"]
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
+_STATE = "page_id long, url string, place int, rule string, verdict string"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -73,66 +82,95 @@ class Bloom:
         a, b = h & 0xFFFFFFFFFFFFFFFF, (h >> 64) | 1
         return [(a + i * b) % self.bits for i in range(self.hashes)]
 
-    def fill(self, found: DataFrame) -> Bloom:
-        """Set the bits of all keys. Words of bits are combined before and after the
-        shuffle; the driver gets at most ``bits / 64`` of them."""
-        schema = arrow_schema("word long, bit int")
+    def __contains__(self, key: str) -> bool:
+        return all(self.data[p >> 3] >> (p & 7) & 1 for p in self.positions(key))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield columns_batch([(p >> 6, p & 63) for x in batch.column(0).to_pylist() for p in self.positions(x)], schema)
 
-        rows = found.mapInArrow(run, "word long, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
-        data = np.zeros(self.bits // 64 + 1, dtype=np.int64)
-        for r in rows:
-            data[r["word"]] = r["bits"]
-        self.data = data.astype("<i8").tobytes()
-        return self
+def _fill(found: DataFrame, filters: dict[int, Bloom]) -> None:
+    """Set the bits of all keys (which, key) in the filters of their lists. Bits are gathered
+    by block over the cluster; the driver gets whole blocks, as bytes."""
 
-    def __contains__(self, key: str) -> bool:
-        return all(self.data[p >> 3] >> (p & 7) & 1 for p in self.positions(key))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("which int, block long, at int")
+        for batch in batches:
+            yield columns_batch([(w, p // BLOCK_BITS, p % BLOCK_BITS) for w, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in filters[w].positions(x)], schema)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            which, block, at = (c.to_numpy() for c in batch.columns)
+            for w, b in set(zip(which.tolist(), block.tolist(), strict=True)):
+                bits = blocks.setdefault((w, b), np.zeros(BLOCK_BITS, dtype=bool))
+                bits[at[(which == w) & (block == b)]] = True
+        for (w, b), bits in blocks.items():
+            yield columns_batch([(w, b, np.packbits(bits, bitorder="little").tobytes())], arrow_schema("which int, block long, bits binary"))
+
+    rows = found.select("which", "key").mapInArrow(places, "which int, block long, at int").repartition("which", "block").mapInArrow(gather, "which int, block long, bits binary").toArrow()
+    data = {w: np.zeros(-(-x.bits // BLOCK_BITS) * (BLOCK_BITS >> 3), dtype=np.uint8) for w, x in filters.items()}
+    for w, b, bits in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        data[w][b * (BLOCK_BITS >> 3) : (b + 1) * (BLOCK_BITS >> 3)] = np.frombuffer(bits, dtype=np.uint8)
+    for w, x in filters.items():
+        x.data = data[w][: (x.bits >> 3) + 1].tobytes()
 
 
 class Cascade:
     """Exact membership of the keys of a universe in a list."""
 
-    def __init__(self, levels: list[Bloom]):
-        self.levels = levels
+    def __init__(self):
+        self.levels: list[Bloom] = []
+        self.last: set[str] | None = None
 
     def __contains__(self, key: str) -> bool:
         for i, level in enumerate(self.levels):
             if key not in level:
                 return i % 2 == 1
-        return len(self.levels) % 2 == 1
-
-    @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, rates: tuple[float, float] = RATES, most_bytes: int = MOST_BYTES) -> Cascade | None:
-        """None if the filters would outgrow ``most_bytes``. Both frames have one
-        column ``key``; null keys are left out, repeated ones count once. A listed
-        key outside the universe is held as well."""
-        spark = universe.sparkSession
-        inside = listed.where("key IS NOT NULL").distinct()
-        outside = universe.where("key IS NOT NULL").distinct().join(inside, "key", "left_anti")
-        levels: list[Bloom] = []
-        wanted, others = written(inside), written(outside)
-        while len(levels) < MOST_LEVELS:
-            n = wanted.count()
-            if not n and levels:
-                return cls(levels)
-            level = Bloom(n, rates[bool(levels)], len(levels))
-            if level.bits / 8 + sum(len(x.data) for x in levels) > most_bytes:
-                return None
-            levels.append(level.fill(wanted))
-            if not n:
-                return cls(levels)
-            held = spark.sparkContext.broadcast(level)
-
-            def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    yield columns_batch([(x,) for x in batch.column(0).to_pylist() if x in held.value], arrow_schema("key string"))
-
-            wanted, others = written(others.mapInArrow(run, "key string")), wanted
-        raise RuntimeError("a cascade does not end: two keys have the same hashes on every level")
+        listed = len(self.levels) % 2 == 1
+        return listed if self.last is None else (key in self.last) != listed
+
+
+def cascades(lists: DataFrame, universe: DataFrame, count: int = 1, rates: tuple[float, float] = RATES, most_levels: int = MOST_LEVELS) -> list[Cascade]:
+    """The cascades of ``count`` lists (which from 0, key) over one universe (key), level by
+    level. Null keys are left out, repeated ones count once; a listed key outside the
+    universe is held as well."""
+    spark = universe.sparkSession
+    inside = lists.where("key IS NOT NULL").select("which", "key").distinct()
+    every = universe.where("key IS NOT NULL").select("key").distinct().select(F.explode(F.array(*map(F.lit, range(count)))).alias("which"), "key")
+    out = [Cascade() for _ in range(count)]
+    wanted, others = written(inside), written(every.join(inside, ["which", "key"], "left_anti"))
+    left = list(range(count))
+    while left:
+        n = {r["which"]: r["count"] for r in wanted.groupBy("which").count().collect()}
+        level = len(out[left[0]].levels)
+        left = [w for w in left if n.get(w) or not level]
+        if level == most_levels:
+            for w in left:
+                out[w].last = set()
+            for r in wanted.collect():
+                out[r["which"]].last.add(r["key"])
+            break
+        fresh = {w: Bloom(n.get(w, 0), rates[bool(level)], level) for w in left}
+        if not fresh:
+            break
+        _fill(wanted.where(F.col("which").isin(left)), fresh)
+        for w, x in fresh.items():
+            out[w].levels.append(x)
+        left = [w for w in left if n.get(w)]
+        held = spark.sparkContext.broadcast(fresh)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                yield columns_batch([(w, x) for w, x in pairs if x in held.value[w]], arrow_schema("which int, key string"))
+
+        if left:
+            wanted, others = written(others.where(F.col("which").isin(left)).mapInArrow(run, "which int, key string")), wanted
+    return out
+
+
+def _group(key: str, groups: int) -> int:
+    """The group of a key; the same as ``pmod(xxhash64(key), groups)``."""
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "replace"), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % groups
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -144,51 +182,45 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, most_bytes
     without ``://`` has an empty host and path, fits no rule and gets the default.
     Ids may be null or repeated: each row is judged alone. An empty table gives no
     rows, an empty rule list the default; further columns are not read."""
+    spark = pages.sparkSession
     known = written(rules.select(F.col("rule").alias("key"), "verdict").where("rule IS NOT NULL AND instr(rule, '/') > 0"))
     lengths = sorted((r[0] for r in known.select(F.expr("length(key) - instr(key, '/') + 1")).distinct().collect()), reverse=True)
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield columns_batch([(k,) for k in {k for url in batch.column(0).to_pylist() for k in keys(*host_path(url), lengths)}], arrow_schema("key string"))
 
     universe = written(pages.select("url").mapInArrow(expand, "key string").distinct())
-    lists = {v: known.where(F.col("verdict") == v).select("key").distinct() for v in ("block", "allow")}
-    cascades = {v: Cascade.build(x, universe, most_bytes=most_bytes) for v, x in lists.items()}
-    if None in cascades.values():
-        return _joined(source, known, lengths, default)
-    held = source.sparkSession.sparkContext.broadcast(cascades)
-    schema = arrow_schema(SCHEMA)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocked, allowed = held.value["block"], held.value["allow"]
-        for batch in batches:
-            rows = []
-            for page_id, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host, path = host_path(url)
-                rule, verdict = None, default
-                for key in sorted(keys(host, path, lengths), key=len, reverse=True):
-                    if (stop := key in blocked) or key in allowed:
-                        rule, verdict = key, "block" if stop else "allow"
-                        break
-                rows.append((page_id, host, path, rule, verdict))
-            yield columns_batch(rows, schema)
-
-    return source.mapInArrow(run, SCHEMA)
-
-
-def _joined(source: DataFrame, known: DataFrame, lengths: list[int], default: str) -> DataFrame:
-    """The same judgement by a join, for lists whose filters would be too large to send."""
-    schema = arrow_schema("row long, page_id long, host string, path string, keys array<string>")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lists = known.select(F.when(F.col("verdict") == "block", 0).when(F.col("verdict") == "allow", 1).alias("which"), "key").where("which IS NOT NULL")
+    # Bits of all levels: those of listed keys, and of the false positives among the others.
+    size = (11 * known.count() + 0.03 * len(VERDICTS) * universe.count()) / 8
+    groups = max(1, math.ceil(size / most_bytes))
+    schema = arrow_schema(_STATE)
+    out = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    for g in range(groups):
+        mine = F.pmod(F.xxhash64("key"), F.lit(groups)) == g
+        held = spark.sparkContext.broadcast(cascades(lists.where(mine), universe.where(mine), len(VERDICTS)))
+
+        def run(batches: Iterator[pa.RecordBatch], g=g, held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for page_id, url, place, rule, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for i, key in enumerate(sorted(keys(*host_path(url), lengths), key=len, reverse=True)[:place]):
+                        if (groups == 1 or _group(key, groups) == g) and (hit := next((v for v, x in zip(VERDICTS, held.value, strict=True) if key in x), None)):
+                            place, rule, verdict = i, key, hit
+                            break
+                    rows.append((page_id, url, place, rule, verdict))
+                yield columns_batch(rows, schema)
+
+        out = out.mapInArrow(run, _STATE)
+        if g + 1 < groups:
+            out = written(out)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield columns_batch([(row, page_id, *(hp := host_path(url)), keys(*hp, lengths)) for page_id, url, row in zip(*(c.to_pylist() for c in batch.columns), strict=True)], schema)
+            yield columns_batch([(page_id, *host_path(url), rule, verdict or default) for page_id, url, _, rule, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True)], arrow_schema(SCHEMA))
 
-    rows = written(source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, page_id long, host string, path string, keys array<string>"))
-    ranked = known.groupBy("key").agg(F.max("verdict").alias("verdict"))
-    best = rows.select("row", F.explode("keys").alias("key")).join(ranked, "key").groupBy("row").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "key")).alias("best"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return out.mapInArrow(parts, SCHEMA)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,25 +225,27 @@ def judge_brute(url, rules):
     return max(fits)[1:] if fits else (None, urlfilter.DEFAULT)
 
 
-@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("most_bytes", [1 << 20, 12])
 def test_url_verdicts_equal_brute_force(spark, most_bytes):
     rng = random.Random(15)
     rules = urlfilter.RULES + [("a.net/x", "allow"), ("b.example.com/de/1", "allow"), ("net/en", "block")]
     urls = ["://".join([rng.choice(["http", "HTTPS"]), ".".join(rng.choice(["a", "b", "example", "net", "com", "org", "EN"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "/", "/en/1", "/de/1?q=/en/", "/fr/#x", "?/en/", "/x/y"])]) for _ in range(400)]
     rows = list(enumerate(urls + [None, "", "no url", "://", "http://", "x://a.net"]))
+    rows += [rows[3], rows[3], (None, "http://a.net/x")]
     out = urlfilter.judge(spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, rule string"), spark.createDataFrame(rules, "rule string, verdict string"), most_bytes=most_bytes).collect()
-    assert {r.page_id: (r.rule, r.verdict) for r in out} == {i: judge_brute(u, rules) for i, u in rows}
-    assert all((r.host, r.path) == urlfilter.host_path(dict(rows)[r.page_id]) for r in out)
+    want = [(i, *urlfilter.host_path(u), *judge_brute(u, rules)) for i, u in rows]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
 
 
 def test_cascade_is_exact(spark):
     listed = spark.createDataFrame([(f"k{i}",) for i in range(0, 3000, 7)] + [("outside",), (None,), ("k0",)], "key string")
     universe = spark.createDataFrame([(f"k{i}",) for i in range(3000)] + [(None,)], "key string")
-    cascade = urlfilter.Cascade.build(listed, universe, (0.2, 0.5))
-    assert all((f"k{i}" in cascade) == (i % 7 == 0) for i in range(3000)) and "outside" in cascade and len(cascade.levels) > 1
-    assert urlfilter.Cascade.build(listed, universe, most_bytes=10) is None
-    nothing = urlfilter.Cascade.build(listed.limit(0), universe)
-    assert not any(f"k{i}" in nothing for i in range(3000))
+    both = listed.selectExpr("0 AS which", "key").unionByName(listed.selectExpr("1 AS which", "concat(key, '5') AS key"))
+    for most_levels in (64, 2, 1):
+        one, two, nothing = urlfilter.cascades(both, universe, 3, (0.2, 0.5), most_levels)
+        assert all((f"k{i}" in one) == (i % 7 == 0) and (f"k{i}" in two) == (i % 10 == 5 and i > 5 and i // 10 % 7 == 0) and f"k{i}" not in nothing for i in range(3000))
+        assert "outside" in one and (len(one.levels) > 2 if most_levels == 64 else len(one.levels) == most_levels)
+    assert [urlfilter._group(r.key, 5) for r in universe.where("key IS NOT NULL").collect()[:50]] == [r.g for r in universe.where("key IS NOT NULL").selectExpr("pmod(xxhash64(key), 5) AS g").collect()[:50]]
     assert urlfilter.judge(universe.selectExpr("1L AS page_id", "key AS url").limit(0), listed.selectExpr("key AS rule", "'block' AS verdict")).count() == 0
 
 
