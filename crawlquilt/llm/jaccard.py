@@ -17,6 +17,9 @@ A document is the set of its word shingles; two link when 100 * |A & B| >= 90 *
   ``min(n - i, m - j)``. A bucket pairs only members whose places allow a link there;
   the bucket of the first common token of a pair that links always does.
 
+Words and shingles are known by 64-bit hashes, sets by 128 bits of digest: results are
+exact but for equal hashes, which texts that weren't made for it hardly have.
+
 Frequent tokens are those that several windows of documents report; their list is
 bounded by the total number of tokens, and any order is correct, so it only needs to
 be the same everywhere. Texts are scanned once for the classes, once for the
@@ -232,7 +235,8 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
 def _filtered(pairs: DataFrame, prefixes: DataFrame, orders: int) -> DataFrame:
     """The pairs (a, b) that share a prefix token under every further order."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    prefixes = written(prefixes.join(ids, "id", "left_semi"))
+    # A class has a row for each task that met it.
+    prefixes = written(prefixes.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     left = prefixes.select(F.col("id").alias("a"), F.col("others").alias("oa"))
     right = prefixes.select(F.col("id").alias("b"), F.col("others").alias("ob"))
     both = pairs.join(left, "a").join(right, "b")
@@ -320,7 +324,8 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, orders: int = O
         order = Orders(*_frequent(scanned), orders)
 
         emitted = written(_prefixes(docs, n, percent, order))
-        tokens = emitted.where("token IS NOT NULL").select("token", "d1", "place")
+        # Dealt by token once, for the counts and for the join with them.
+        tokens = emitted.where("token IS NOT NULL").select("token", "d1", F.col("place").cast("int").alias("place")).repartition("token")
         shared = tokens.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("token")
         members = tokens.join(shared, "token").join(classes.select("d1", "id", "n", "s1", "s2"), "d1")
         members = written(members.select("token", "id", "n", F.col("place").alias("pos"), "s1", "s2").dropDuplicates(["token", "id"]))
