@@ -28,15 +28,21 @@ ROUNDS = 30
 SHARE = 1 / 3
 #: Factor of the penalty, half the logarithm of the evidence for each further language.
 PENALTY = 2.0
-MOST_LANGUAGES = 256
+#: Languages whose counts a task holds at once; it sends them on when there are more.
+HELD_LANGUAGES = 64
 UNKNOWN = "und"
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages string, text_hash long"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _CLASS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; signs such as a half or a raised two are none."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def grams(text: str) -> np.ndarray:
     """Buckets of the trigrams of a text's letters, words set apart by one space."""
     data = b" " + b" ".join(text.encode("utf-8", "replace").translate(_CLASS).split()) + b" "
@@ -52,38 +58,46 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, held_languages: int = HELD_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages, and the log probability of each bucket by language, from all
     rows of ``docs`` (text, lang) that have both. The driver gets the sums alone: at
-    most a row for each language and bucket."""
+    most a row for each language and bucket. A language takes 256 kB of the model, on the
+    driver and in each task."""
     schema = arrow_schema("lang string, bucket int, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, n in sums.items():
+                there = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(n[there], pa.int64())], schema=schema)
+            sums.clear()
+
         for batch in batches:
             for i, lang in enumerate(batch.column(1).to_pylist()):
                 if lang not in sums:
-                    if len(sums) == most_languages:
-                        raise ValueError(f"there are more than {most_languages} languages")
+                    if len(sums) >= held_languages:
+                        yield from sent()
                     sums[lang] = np.zeros(1 << BITS, dtype=np.int64)
-                sums[lang] += np.bincount(grams(batch.column(0)[i].as_py()), minlength=1 << BITS)
-        for lang, n in sums.items():
-            there = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array(n[there], pa.int64())], schema=schema)
+                buckets, n = np.unique(grams(batch.column(0)[i].as_py()), return_counts=True)
+                sums[lang][buckets] += n
+        yield from sent()
 
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     sums = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
-    if len(langs) > most_languages:
-        raise ValueError(f"there are more than {most_languages} languages")
-    n = np.zeros((len(langs), 1 << BITS))
+    n = np.zeros((len(langs), 1 << BITS), dtype=np.float32)
     at = {x: i for i, x in enumerate(langs)}
     n[[at[x] for x in sums.column("lang").to_pylist()], sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     if not langs:
         return [], n
-    shared = (n.sum(0) + SMOOTHING) / (n.sum() + SMOOTHING * n.shape[1])
-    smooth = n + SMOOTHING * 200 * shared * len(langs)
-    return langs, np.log(smooth / smooth.sum(1, keepdims=True))
+    whole = n.sum(0, dtype=np.float64)
+    prior = SMOOTHING * 200 * len(langs) * (whole + SMOOTHING) / (whole.sum() + SMOOTHING * len(whole))
+    for row in n:  # in place, a language at a time
+        smooth = row + prior
+        row[:] = np.log(smooth / smooth.sum())
+    return langs, n
 
 
 def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -106,7 +120,7 @@ def proportions(text: str, log_p: np.ndarray) -> list[tuple[int, float]]:
     if not len(found):
         return []
     buckets, n = np.unique(found, return_counts=True)
-    rows = log_p[buckets]
+    rows = log_p[buckets].astype(np.float64)
     top = rows.max(1)
     n = n * SHARE
     p = np.exp(rows - top[:, None])
@@ -146,7 +160,7 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
             rows = []
             for i, (doc_id, out, key) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
                 text = batch.column(1)[i].as_py()
-                found = proportions(text, log_p) if names and text and _LETTER.search(text) else []
+                found = proportions(text, log_p) if names and text and has_letter(text) else []
                 if found:
                     rows.append((doc_id, out, names[found[0][0]], min(1.0, found[0][1]), ",".join(f"{names[k]}:{x:.3f}" for k, x in found), key))
                 else:
