@@ -9,12 +9,14 @@ offsets make one window, which Myers' bit-parallel distance verifies. Before tha
 window must hold as many of the item's q-grams as ``e`` edits leave, which loses no
 match.
 
-Documents are neither shuffled nor cut; the items go to the tasks in chunks of a
-bounded number of bytes, one pass over the documents for each chunk.
+Documents are neither shuffled nor cut; the items are broadcast in chunks of a bounded
+number of bytes, one pass over the documents for each chunk. A worker builds the
+automaton of a chunk once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -133,6 +135,16 @@ class Matcher:
         return sum(g in there for g in grams) >= least
 
 
+#: The matcher that a worker used last, and the name of its chunk.
+_last: list = [None, None]
+
+
+def _matcher(name: str, items: list[tuple[int, str]], rate: float, min_bytes: int) -> Matcher:
+    if _last[0] != name:
+        _last[:] = [name, Matcher(items, rate, min_bytes)]
+    return _last[1]
+
+
 def _windows(starts: list[int], e: int, m: int, n: int) -> Iterator[tuple[int, int]]:
     """Stretches of the text that hold every match with one of the starts, up to ``e`` off."""
     a = b = None
@@ -174,8 +186,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_bytes
     out = None
     for items in _chunks(benchmark, chunk_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            match = Matcher(items, rate, min_bytes)
+        held = source.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            match = _matcher(name, held.value, rate, min_bytes)
             for batch in batches:
                 rows: list[tuple] = []
                 for i, key in enumerate(batch.column(2).to_pylist()):
