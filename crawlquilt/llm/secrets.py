@@ -4,7 +4,7 @@ Candidates are long runs of key characters that hold a digit, and what is assign
 a word such as password or key. A random forest, trained from labelled findings, judges each by its length, the transitions between its
 character classes, how much of it dictionary words cover, the path of its document
 and the neighbouring words. Only DataFrame expressions and the forest of Spark's own
-library run: texts never leave the JVM, and nothing is shuffled.
+library run: texts never leave the JVM, and only candidates are shuffled, for their places.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlquilt.llm.common import table, text_key
@@ -164,11 +164,12 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     gap = lambda i: F.get("between", i)
     ends = F.transform("found", lambda x, i: F.struct(x.alias("candidate"), F.right(gap(i), F.lit(NEAR)).alias("before"), F.left(gap(i + 1), F.lit(NEAR)).alias("after"), F.length(gap(i)).alias("gap")))
     rows = rows.select("doc_id", "path", "text_hash", ends.alias("at"))
-    lengths = F.transform("at", lambda x: x["gap"] + F.length(x["candidate"]))
-    # Running sums by one pass over the array.
-    sums = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    rows = rows.select("doc_id", "path", "text_hash", "at", sums.alias("sums")).select("doc_id", "path", "text_hash", F.posexplode("at").alias("k", "x"), "sums")
-    return rows.select("doc_id", "text_hash", (F.col("sums")[F.col("k")] + F.col("x.gap")).cast("long").alias("start"), "x.candidate", "x.before", "x.after", "path")
+    # The lengths of what stands before, summed over the candidates of a row. The row's
+    # number is that of a scan, so a task that runs again gives the same.
+    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "path", "text_hash", F.posexplode("at").alias("k", "x"))
+    before = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(F.col("x.gap") + F.length("x.candidate")).over(before), F.lit(0))
+    return each.select("doc_id", "text_hash", (passed + F.col("x.gap")).cast("long").alias("start"), "x.candidate", "x.before", "x.after", "path")
 
 
 def scan(docs: DataFrame, model: PipelineModel, path: str = "source", least_score: float = LEAST_SCORE) -> DataFrame:
