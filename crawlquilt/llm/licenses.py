@@ -5,8 +5,10 @@ file's licence words are looked up from the highest inverse document frequency
 down: of each template the rarest words are its anchors, and an anchor at word
 ``p`` with posting position ``q`` says that the template would start at ``p - q``.
 Postings that agree on a start are intersected; a start that enough anchors share
-is a candidate, and the template's mandatory phrases must then stand in the file
-where the start puts them. Document frequencies are counted over all documents.
+is a candidate, and the template's mandatory phrases must then stand in the file in
+their order, within ``SLACK`` words of where the start puts them. Starts of a template
+that lie in a notice found before them are the same notice. Document frequencies are
+counted over all documents.
 
 Base phrases are templates of two or three words whose only anchor is their rarest
 word and which are mandatory as a whole, so every place of theirs is found.
@@ -81,6 +83,8 @@ SAME = {"bsd-name": "bsd"}
 #: Rarest words of a template that serve as its anchors, and how many must agree on a start.
 ANCHORS = 6
 AGREE = 2
+#: Words by which a mandatory phrase of a notice may stand elsewhere; none for base phrases.
+SLACK = 8
 
 SCHEMA = "doc_id long, text_hash long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<string>"
 
@@ -105,7 +109,7 @@ def templates() -> list[Template]:
     out = [Template(label, tuple(w := words(phrase)), ((0, tuple(w)),), True) for phrase, label in BASE.items()]
     for label, (text, phrases) in TEMPLATES.items():
         w = words(text)
-        out.append(Template(SAME.get(label, label), tuple(w), tuple((find(w, p := words(x)), tuple(p)) for x in phrases), False))
+        out.append(Template(SAME.get(label, label), tuple(w), tuple(sorted((find(w, p := words(x)), tuple(p)) for x in phrases)), False))
     return out
 
 
@@ -123,8 +127,8 @@ class Index:
             rarest = sorted(set(t.words), key=lambda w: (-idf[w], w))
             anchors = rarest[:1] if t.base else rarest[:ANCHORS]
             self.need.append(min(AGREE, len(anchors)))
-            for w in anchors:  # a word that the template repeats anchors by its first place
-                self.postings.setdefault(w, []).append((k, t.words.index(w)))
+            for w in anchors:
+                self.postings.setdefault(w, []).extend((k, q) for q, x in enumerate(t.words) if x == w)
         self.order = sorted(self.postings, key=lambda w: (-idf[w], w))
 
     def scan(self, text: list[bytes]) -> list[tuple[int, int, float]]:
@@ -141,16 +145,36 @@ class Index:
             for p in places.get(w, ()):
                 for k, q in postings[w]:
                     starts[k, p - q] += 1
-        out = []
+        found: dict[int, list[tuple[float, int]]] = {}
         for (k, start), n in starts.items():
-            if n < self.need[k]:
-                continue
-            t = self.templates[k]
-            if all(start + at >= 0 and text[start + at : start + at + len(phrase)] == list(phrase) for at, phrase in t.phrases):
+            if n >= self.need[k] and self.verified(text, self.templates[k], start):
+                t = self.templates[k]
                 there = sum(x for i, (w, x) in enumerate(zip(t.words, self.weight[k], strict=True)) if 0 <= start + i < len(text) and text[start + i] == w)
-                out.append((k, start, there / self.total[k]))
+                found.setdefault(k, []).append((there / self.total[k], start))
+        out = []
+        for k, hits in found.items():
+            size = 1 if self.templates[k].base else len(self.templates[k].words)
+            last = None
+            for share, start in sorted(hits, key=lambda x: (x[1], -x[0])):
+                if last is not None and start < last[1] + size:
+                    if share > last[2]:
+                        out[-1] = last = (k, last[1], share)
+                    continue
+                out.append(last := (k, start, share))
         return out
 
+    @staticmethod
+    def verified(text: list[bytes], t: Template, start: int) -> bool:
+        """Whether the mandatory phrases stand in their order, each near its place."""
+        at = 0
+        for place, phrase in t.phrases:
+            slack = 0 if t.base else SLACK
+            at = next((p for p in range(max(at, start + place - slack), start + place + slack + 1) if text[p : p + len(phrase)] == list(phrase)), None)
+            if at is None:
+                return False
+            at += len(phrase)
+        return True
+
 
 def frequencies(docs: DataFrame, found: list[Template]) -> tuple[dict[bytes, int], int]:
     """In how many documents each word of the templates stands, and the number of
