@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a
-    temporary one only where the session names none (single-machine tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the
+    session names none, a temporary one serves a local master; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="crawlquilt-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
