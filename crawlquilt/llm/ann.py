@@ -14,8 +14,8 @@ recall. Vectors with structure need few, whatever the size of the table.
 
 Leaves are split into blocks of bounded size, so a leaf that a common vector fills is
 the work of many tasks; a query goes to all blocks of its leaves. Tasks read blocks as
-a sorted stream: the vectors of a block, then its queries in batches. Each block sends
-on the best few of a query, so the last step sees few rows of each query.
+a sorted stream: the vectors of a block, then its queries in batches. Each task sends
+on the best few of a query among its blocks, so the last step sees few rows of each.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlquilt.llm.common import arrow_schema, columns_batch, scratch, table, written
+from crawlquilt.llm.common import arrow_schema, scratch, table, written
 
 TREES = 20
 #: Vectors in a leaf, about.
@@ -161,15 +161,16 @@ def _fit(rows: DataFrame, count: int, dims: int, trees: int, leaf: int, sample:
 
 def true_nearest(rows: DataFrame, ids: np.ndarray, x: np.ndarray, nearest: int) -> list[tuple[int, int, list[float]]]:
     """(query, neighbour, its vector) of the exact nearest of a few queries, by one pass
-    over all rows; each batch sends on ``nearest`` rows of each query."""
+    over all rows; each task sends on ``nearest`` rows of each query."""
     held = rows.sparkSession.sparkContext.broadcast((ids, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("query_id long, vec_id long, score double")
+        best = _Best(nearest)
         for batch in batches:
             if batch.num_rows:
                 order = np.argsort(found := batch.column(0).to_numpy(), kind="stable")
-                yield columns_batch(_best(*held.value, found[order], _matrix(batch.column(1))[order], nearest), schema)
+                best.add(_best(*held.value, found[order], _matrix(batch.column(1))[order], nearest))
+        yield from best.batches(arrow_schema("query_id long, vec_id long, score double"))
 
     top = _ranked(rows.mapInArrow(run, "query_id long, vec_id long, score double"), nearest).select("query_id", F.col("vec_id").alias("id"))
     return [(r["query_id"], r["id"], r["vec"]) for r in rows.join(F.broadcast(top), "id").collect()]
@@ -265,9 +266,49 @@ def _probe(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(where[:, 0]), pa.array(where[:, 1])], schema=schema)
 
 
+#: Rows of results that a task gathers before it keeps only the best of each query.
+GATHERED = 500_000
+
+
+class _Best:
+    """The best few of each query that a task has met."""
+
+    def __init__(self, nearest: int):
+        self.nearest, self.rows, self.held, self.kept = nearest, 0, [], 0
+
+    def add(self, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.held.append(found)
+        self.rows += len(found[0])
+        if self.rows > 2 * self.kept + GATHERED:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, found, score = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((-score, found, query))
+        query, found, score = query[order], found[order], score[order]
+        new = np.r_[True, (np.diff(query) != 0) | (np.diff(found) != 0)][: len(query)]
+        query, found, score = query[new], found[new], score[new]
+        order = np.lexsort((found, -score, query))
+        query, found, score = query[order], found[order], score[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(query) != 0][: len(query)])
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+        out = tuple(x[place < self.nearest] for x in (query, found, score))
+        self.held, self.kept = [out], len(out[0])
+        self.rows = self.kept
+        return out
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            out = [pa.array(x) for x in self.reduce()]
+            for a in range(0, self.kept, 65_536):
+                yield pa.RecordBatch.from_arrays([x.slice(a, 65_536) for x in out], schema=schema)
+
+
 def _rank(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.RecordBatch]:
-    """From a stream sorted by block and side, the best few of each query in each block."""
+    """From a stream sorted by block and side, the best few of each query in a task's
+    blocks. A task holds those of its queries, three numbers each."""
     schema = arrow_schema("query_id long, vec_id long, score double")
+    best = _Best(nearest)
     current, ids, parts, members = None, [], [], None
     for batch in batches:
         if not batch.num_rows:
@@ -288,11 +329,12 @@ def _rank(batches: Iterator[pa.RecordBatch], nearest: int) -> Iterator[pa.Record
             if members is None:
                 members = (np.concatenate(ids), np.concatenate(parts))
             for k in range(0, len(part_ids), 512):
-                yield columns_batch(_best(part_ids[k : k + 512], x[k : k + 512], *members, nearest), schema)
+                best.add(_best(part_ids[k : k + 512], x[k : k + 512], *members, nearest))
+    yield from best.batches(schema)
 
 
-def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, nearest: int) -> list[tuple[int, int, float]]:
-    """The ``nearest`` best ids of each query, each by its best row. The ids are sorted."""
+def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): the ``nearest`` best ids of each query, each by its best row. The ids are sorted."""
     rough = _units(q) @ _units(x).T
     rough[queries[:, None] == ids[None, :]] = -9.0
     firsts = np.flatnonzero(np.r_[True, np.diff(ids) != 0])
@@ -306,16 +348,9 @@ def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, ne
     # The exact score of what is left: its rounding doesn't depend on the block.
     a, b = _scaled(q[rows]), _scaled(x[columns])
     score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-    order = np.lexsort((-score, ids[columns], rows))
-    rows, found, score = rows[order], ids[columns[order]], score[order]
-    new = np.r_[True, (np.diff(rows) != 0) | (np.diff(found) != 0)][: len(rows)]
-    rows, found, score = rows[new], found[new], score[new]
-    order = np.lexsort((found, -score, rows))
-    rows, found, score = rows[order], found[order], score[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(rows) != 0]) if len(rows) else np.zeros(0, dtype=np.int64)
-    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-    kept = place < nearest
-    return list(zip(queries[rows[kept]].tolist(), found[kept].tolist(), score[kept].tolist(), strict=True))
+    some = _Best(nearest)
+    some.add((queries[rows], ids[columns], score))
+    return some.reduce()
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
