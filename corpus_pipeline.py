@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlquilt.llm import decontam, jaccard, linededup, packing, quality
-from crawlquilt.llm.common import table, written
+from crawlquilt.llm.common import table, unused, written
 
 #: Near duplicates share 80 of 100 shingles of five words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -24,7 +24,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go, and documents of which nothing is left."""
-    out = linededup.dedup_lines(docs, LINE_WORDS).where("n_removed = 0 OR trim(BOTH ' \t\n\r\f\x0b' FROM text) <> ''")
+    # Whether anything is left follows from counts: a condition on the new text would move
+    # below the join and work out the text again, lines split anew for each line.
+    (filled,) = unused(docs.columns, "filled")
+    whole = F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) != "")
+    out = linededup.dedup_lines(docs.withColumn(filled, F.size(whole)), LINE_WORDS).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col(filled)))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -152,7 +152,7 @@ def per_row(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[dict]], sch
 class WordHashes:
     """64-bit hashes of words, kept for words seen lately."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         self.most = most
         self.seen: dict[bytes, int] = {}
 

@@ -81,7 +81,7 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
                 for pos, (x, n) in enumerate(zip(found, sizes, strict=True)):
                     h = xxhash.xxh3_128_digest(x)
                     rows.append((doc_id, key, pos, numbers[pos], n, [numbers[pos + k - 1] for k in n], int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
-                    if len(rows) > 50_000:
+                    if len(rows) > 20_000:
                         yield columns_batch(rows, schema)
                         rows = []
             yield columns_batch(rows, schema)
@@ -177,9 +177,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = docs.select(*names, text_key(F.col("text")).alias(hashed))
     # How long the copies' arrays are is not bounded by their count: never broadcast them.
     joined = left.join(copies.hint("merge"), left["doc_id"].eqNullSafe(copies[of]) & (left[hashed] == copies[key]), "left")
-    blank = lambda i: F.trim(F.translate(F.get(parts, i), "\t\r\x0b\x0c", "    ")) == ""
-    removed = F.coalesce(F.filter(cut, lambda i: ~blank(i)), F.array().cast("array<int>"))
-    rows = joined.select(*names, cut, F.split("text", "\n").alias(parts)).withColumn(cut, removed)
+    # The lines are split outside of lambdas alone: within one it would be once for each element.
+    rows = joined.select(*names, cut, F.split("text", "\n").alias(parts))
+    blanks = F.transform(parts, lambda x, i: F.when(F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")) == "", i))
+    rows = rows.withColumn(cut, F.when(F.col(cut).isNull(), F.array().cast("array<int>")).otherwise(F.array_except(cut, blanks)))
     # What stays is what stands between the deleted lines: one slice of the lines for each.
     ends = F.concat(F.col(cut), F.array(F.size(parts)))
     after = lambda k: F.coalesce(F.get(cut, k - 1) + 1, F.lit(0))

@@ -125,7 +125,7 @@ def fit(docs: DataFrame, ids: list[int], bits: int = BITS, smoothing: float = SM
                 if doc_id in good:
                     held[1].append(found)
                 size += len(found)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     count()
                     size = 0
         count()
