@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MOST = {"titles": 5, "meta_descs": 5, "h1s": 10, "h2s": 10, "h3s": 10, "canonicals": 5, "anchors": 5000, "images": 500, "css": 200, "js": 200, "json_ld": 20, "microdata": 40}
 ANCHOR_TEXT = 100
 SCRIPT_TEXT = 256 << 10
+# Labels of links to a next page.
+NEXT_LABELS = ("next page", "go to next page")
 SILENT = ("script", "style", "noscript", "template")
 
 _WORD = re.compile(r"[^\W]+", re.UNICODE)
@@ -169,7 +171,7 @@ class Extractor(HTMLParser):
             self.hreflang.append((a["hreflang"].strip(), self.resolve(href)))
 
     def on_a(self, a: dict[str, str]) -> None:
-        if "next" in a.get("rel", "").lower().split() or "data-next-page" in a or "next" in a.get("aria-label", "").lower():
+        if "next" in a.get("rel", "").lower().split() or "data-next-page" in a or squash(a.get("aria-label", "")).lower() in NEXT_LABELS:
             self.next = self.next or self.resolve(a.get("href", ""))
         self.open.append({"tag": "a", "kind": "anchors", "text": [], "href": self.resolve(a.get("href", "")), "rel": a.get("rel", ""), "place": self.where(), "alt": ""})
 

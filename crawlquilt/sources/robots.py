@@ -48,11 +48,11 @@ def robots_groups(body: str) -> list[tuple[list[str], list[tuple[str, str]], str
 
 def matched_rule(body: str, agent: str, path: str) -> tuple[bool, str]:
     """Whether an agent may fetch a path, and by which rule. Groups of the longest agent
-    name that the agent holds count, ``*`` only if none does; the longest rule wins, and
+    name that the agent begins with count, ``*`` only if none does; the longest rule wins, and
     allow wins a tie."""
     name = agent.lower()
     groups = robots_groups(body)
-    fits = [a for agents, *_ in groups for a in agents if a != "*" and a and a in name]
+    fits = [a for agents, *_ in groups for a in agents if a != "*" and a and name.startswith(a)]
     chosen = max(fits, key=len) if fits else "*"
     rules = [r for agents, found, _ in groups if chosen in agents for r in found]
     best = None

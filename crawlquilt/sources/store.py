@@ -18,9 +18,11 @@ KEYS = {"pages": ["run_id", "url_id"], "urls": ["run_id", "id"], "issues": ["run
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that the session names; to a temporary one
-    only where it names none (single-machine tests)."""
+    """Checkpoints go to the shared folder that the session names. Where it names none, a
+    temporary one serves a local master; a cluster must name one."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="crawlquilt-"))
 
 

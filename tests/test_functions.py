@@ -132,3 +132,14 @@ def test_document_columns(spark):
     df = spark.createDataFrame([(1, "https://e.com/p", PAGE, "x"), (2, "https://e.com/q", None, "y")], "page_id long, url string, html string, extra string")
     out = {r.page_id: r for r in html.facts(html.documents(df)).collect()}
     assert out[1].title == "A & B" and out[1].title_count == 2 and out[1].has_og and out[1].has_structured_data and out[1].images_noalt == 0 and out[2].title == "" and out[1].extra == "x"
+
+
+def test_robots_groups_are_chosen_by_prefix_and_next_pages_by_label():
+    from crawlquilt.sources.html import extract
+    from crawlquilt.sources.robots import matched_rule
+
+    body = "User-agent: bot\nDisallow: /\n\nUser-agent: google\nDisallow: /a\n\nUser-agent: *\nDisallow: /b"
+    assert matched_rule(body, "Googlebot", "/c") == (True, "") and matched_rule(body, "Googlebot", "/a") == (False, "disallow: /a")
+    assert matched_rule(body, "crawler", "/b") == (False, "disallow: /b") and matched_rule(body, "bot", "/c")[0] is False
+    labels = {"Next article": "", "Next page": "https://x.org/2", " go to  next page": "https://x.org/2"}
+    assert {k: extract(f'<a href="/2" aria-label="{k}">x</a>', "https://x.org/")["next_url"] for k in labels} == labels
