@@ -300,11 +300,11 @@ def test_pipeline_line_dedup_takes_short_repeated_runs(spark):
     import corpus_pipeline
 
     footer, copy = "all rights reserved by the owners of this site", " ".join(f"w{i}" for i in range(40))
-    docs = [(i, f"text number {i} stands here alone\n{footer}\nthe end") for i in range(20)] + [(50, copy), (51, copy)]
+    docs = [(i, f"text number {i} stands here alone\n{footer}\nthe end\nown words of {i}\nthe end") for i in range(20)] + [(50, copy), (51, copy)]
     table = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long")
     out = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, table, "").collect()}
     assert set(out) == {*range(20), 50} and all((footer in r.text) == (i == 0) for i, r in out.items() if i < 50)
-    assert all(r.n_chars == len(r.text) and (i == 50 or "the end" in r.text) for i, r in out.items())
+    assert all(r.n_chars == len(r.text) and (i == 50 or (r.text.endswith("the end") and r.text.count("the end") == 1 + (i == 0))) for i, r in out.items())
 
 
 def test_pipeline_jaccard_join_keeps_one_row_of_each_document(spark):
