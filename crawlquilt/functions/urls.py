@@ -153,48 +153,74 @@ def resolve_link(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
 
 
-@F.pandas_udf(record(status=STRING, resolved=STRING, error=STRING))
-def classify_canonical(page: pd.Series, base: pd.Series, raw: pd.Series) -> pd.DataFrame:
-    """Whether a declared canonical can be resolved: valid, parser_error, resolution_error
-    or insufficient_evidence (relative, and the base that holds for it isn't known)."""
+def _malformed(u: str) -> bool:
+    """Whether a trimmed reference holds white space, or a host or port that can't be one."""
+    try:
+        split = urlsplit(u)
+        _ = split.port
+    except ValueError:
+        return True
+    return any(c.isspace() for c in u) or any(c in split.netloc for c in "<>\\^`{|}\"") or (split.netloc.endswith(":") and not split.hostname)
+
+
+def _web(u: str) -> bool:
+    """Whether ``u`` is a whole http(s) url."""
+    if _malformed(u):
+        return False
+    split = urlsplit(u)
+    return split.scheme.lower() in ("http", "https") and bool(split.hostname)
+
+
+def _lacks_host(u: str) -> bool:
+    return (bool(urlsplit(u).scheme) or u.startswith("//")) and not urlsplit(u).hostname
+
+
+def _declared(page: str, base: str, bases: int, raw: str) -> tuple[str, str | None, str | None]:
+    def because(status: str, reason: str) -> tuple[str, None, str]:
+        return status, None, f"{status}:{reason}"
+
+    if not raw:
+        return because("parser_error", "empty_href")
+    if _malformed(raw):
+        return because("parser_error", "malformed_url")
+    kind = urlsplit(raw).scheme.lower()
+    if kind not in ("", "http", "https"):
+        return because("resolution_error", "unsupported_scheme")
+    if _lacks_host(raw):
+        return because("resolution_error", "missing_host")
+    against = page
+    if not kind:
+        if bases > 1 or not _web(page):
+            return because("insufficient_evidence", "missing_base_context")
+        if base and not base.startswith("#"):
+            if _malformed(base):
+                return because("insufficient_evidence", "ambiguous_base_fallback")
+            if (of := urlsplit(base).scheme.lower()) not in ("", "http", "https"):
+                flat = of == "blob" or not base[len(of) + 1 :].startswith("/")
+                return because("resolution_error", "non_hierarchical_base" if flat else "unsupported_scheme")
+            against = urljoin(page, base)
+            if _lacks_host(base) or not _web(against):
+                return because("insufficient_evidence", "ambiguous_base_fallback")
+    whole = (raw if kind else urljoin(against, raw)).partition("#")[0]
+    return ("valid", whole, None) if _web(whole) else because("resolution_error", "missing_host")
 
-    def bad(u: str) -> str | None:
-        try:
-            split = urlsplit(u)
-            _ = split.port
-        except ValueError as e:
-            return str(e) or "malformed"
-        if any(c in split.netloc for c in " <>\\^`{|}\""):
-            return "malformed host"
-        if split.netloc.endswith(":") and not split.hostname:
-            return "malformed host"
-        return None
-
-    def one(p: str | None, b: str | None, r: str | None) -> tuple[str, str | None, str | None]:
-        r = (r or "").strip()
-        if not r:
-            return "insufficient_evidence", None, "empty"
-        if error := bad(r):
-            return "parser_error", None, error
-        split = urlsplit(r)
-        if split.scheme and split.scheme.lower() not in ("http", "https"):
-            return "resolution_error", None, "unsupported scheme"
-        if split.scheme and split.netloc:
-            return "valid", r.partition("#")[0], None
-        if b is not None and b.strip() and (bad(b) or not p):
-            return "insufficient_evidence", None, "base"
-        if not p or bad(p) or urlsplit(p).scheme.lower() not in ("http", "https"):
-            return "insufficient_evidence", None, "page url"
-        whole = urljoin(urljoin(p, (b or "").strip()), r).partition("#")[0]
-        final = urlsplit(whole)
-        if final.scheme.lower() not in ("http", "https") or not final.hostname:
-            return "resolution_error", None, "not hierarchical"
-        return "valid", whole, None
-
-    rows = [one(p, b, r) for p, b, r in zip(page, base, raw, strict=True)]
+
+@F.pandas_udf(record(status=STRING, resolved=STRING, error=STRING))
+def _classified(page: pd.Series, base: pd.Series, raw: pd.Series, bases: pd.Series) -> pd.DataFrame:
+    text = lambda x: x.strip() if isinstance(x, str) else ""
+    rows = [_declared(text(p), text(b), 0 if pd.isna(n) else int(n), text(r)) for p, b, r, n in zip(page, base, raw, bases, strict=True)]
     return pd.DataFrame(rows, columns=["status", "resolved", "error"])
 
 
+def classify_canonical(page: Column | str, base: Column | str, raw: Column | str, bases: Column | None = None) -> Column:
+    """Whether a declared canonical can be resolved, as (status, resolved, error): valid,
+    parser_error, resolution_error or insufficient_evidence (relative, and the base that
+    holds for it isn't known). ``bases`` is the number of base elements; null counts as
+    none, and a blank or null page or base as one that isn't there. The error names
+    status and reason."""
+    return _classified(page, base, raw, F.lit(1) if bases is None else bases)
+
+
 def dedupe(rows, url: str = "url", order: str = "seq"):
     """The first row of each url, letter case of scheme and host aside, in their order."""
     u = F.trim(F.col(url))

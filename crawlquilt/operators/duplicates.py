@@ -110,7 +110,7 @@ def candidates(rows: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
 def near_pairs(crawl: Crawl, threshold: float = THRESHOLD, cap: int = BUCKET_CAP) -> DataFrame:
     """run_id, a, b, score of the candidate pairs that are near enough. The order of a
     pair is that of its ids, as the ratio isn't symmetric."""
-    rows = comparable(crawl).select("run_id", F.col("url_id").alias("id"), norm("title").alias("t"), norm("meta_desc").alias("m"), norm("h1").alias("h"), F.col("word_count").cast("int").alias("w")).where("t <> '' OR m <> '' OR h <> ''")
+    rows = comparable(crawl).select("run_id", F.col("url_id").alias("id"), norm("title").alias("t"), norm("meta_desc").alias("m"), norm("h1").alias("h"), F.coalesce(F.col("word_count").cast("int"), F.lit(0)).alias("w")).where("t <> '' OR m <> '' OR h <> ''")
     side = lambda s: rows.select("run_id", F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in "tmhw"))
     pairs = candidates(rows, cap).join(side("a"), ["run_id", "a"]).join(side("b"), ["run_id", "b"]).withColumn("least", F.lit(threshold))
     return pairs.mapInPandas(_scores, "run_id string, a long, b long, score double").where(F.col("score") >= threshold)
@@ -141,3 +141,11 @@ def near_groups(crawl: Crawl, threshold: float = THRESHOLD) -> DataFrame:
     sides = pairs.select("run_id", F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select("run_id", F.col("b").alias("id"), F.col("a").alias("other"), "score"))
     best = sides.groupBy("run_id", "id").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("b"))
     return best.join(components(pairs), ["run_id", "id"]).select("run_id", F.col("id").alias("url_id"), F.col("component").alias("group_id"), (-F.col("b.o")).alias("other"), F.col("b.score").alias("score"))
+
+
+def near_issues(crawl: Crawl, threshold: float = THRESHOLD) -> DataFrame:
+    """Issue rows (run_id, url_id, code, category, severity, detail) of the near duplicates;
+    the detail is the best partner's url."""
+    code = "duplicate-page"
+    partner = crawl.pages.select("run_id", F.col("url_id").alias("other"), F.col("url").alias("detail"))
+    return near_groups(crawl, threshold).join(partner, ["run_id", "other"]).select("run_id", "url_id", F.lit(code).alias("code"), F.lit(S.CATEGORY[code]).alias("category"), F.lit(S.SEVERITY[code]).alias("severity"), "detail")

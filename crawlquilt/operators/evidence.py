@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crawlquilt import schema as S
 from crawlquilt.functions.text import normalize_fetch_error, robots_has_token
-from crawlquilt.functions.urls import evidence_url
+from crawlquilt.functions.urls import classify_canonical, evidence_url, resolve_link
 from crawlquilt.schema import Crawl
 
 # Kinds of subjects.
@@ -37,11 +37,80 @@ def _known(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def url_observations(crawl: Crawl, seed_id: int = 1) -> DataFrame:
+def subjects(pages: DataFrame, key: str, target: str) -> DataFrame:
+    """run_id, ``key``, ``target``: identities that one page alone has, and its url_id."""
+    return pages.groupBy("run_id", evidence_url("url").alias(key)).agg(F.count("*").alias("_n"), F.min("url_id").alias(target)).where("_n = 1").drop("_n")
+
+
+def redirect_observations(pages: DataFrame, follow: bool = True) -> DataFrame:
+    """The redirect chains of pages with ``redirects`` (url, location and status of each hop,
+    null as none) and redirect_hops; ``error`` or else error_type says why a fetch ended.
+
+    A chain whose length isn't redirect_hops proves nothing but its hops. It is whole if
+    redirects were followed, there are hops and no error; only then its end is known, and
+    the end is a subject only if one page alone has its identity."""
+    error = F.trim(F.coalesce(F.col("error" if "error" in pages.columns else "error_type"), F.lit("")))
+    hops = F.coalesce("redirects", F.array().cast(pages.schema["redirects"].dataType))
+    base = pages.select("run_id", "url_id", "status", "redirect_hops", error.alias("_error"), hops.alias("_hops")).withColumn("_n", F.size("_hops"))
+    to = F.coalesce(resolve_link("x.url", "x.location"), F.col("x.location"))
+    each = base.select("run_id", "url_id", F.posexplode("_hops").alias("k", "x")).withColumn("_to", to)
+    value = F.to_json(F.struct(F.col("k").alias("hop_index"), F.col("x.url").alias("source_url"), F.col("x.status").alias("status"), F.col("_to").alias("resolved_target_url")))
+    source = F.concat(F.lit("pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string"))
+    rows = _rows(each, URL, url_ref(), {"redirect_hop": value}, source)
+
+    seen = F.col("status").between(300, 399) | (F.col("_n") > 0) | (F.col("redirect_hops") > 0)
+    agrees = ~seen | (F.coalesce("redirect_hops", F.lit(0)) == F.col("_n"))
+    last = F.element_at("_hops", -1)
+    whole = base.withColumn("_agrees", agrees).withColumn("_seen", seen).withColumn("_whole", seen & agrees & F.lit(follow) & (F.col("_n") > 0) & (F.col("_error") == ""))
+    whole = whole.withColumn("x", F.when(F.col("_whole"), last)).withColumn("_final", evidence_url(resolve_link("x.url", "x.location")))
+    known = whole.join(subjects(pages, "_final", "_target"), ["run_id", "_final"], "left")
+    fields = {
+        "redirect_hop_count": F.when(F.col("_agrees") & ((F.col("status") > 0) | (F.col("_n") > 0)), F.col("_n")),
+        "redirect_traversal_complete": F.when(F.col("_seen") & F.col("_agrees"), F.col("_whole")),
+        "redirect_loop_detected": F.when(F.col("_error") == "redirect loop", "true").when(F.col("_whole"), "false"),
+        "redirect_final_url": F.col("_final"),
+        "redirect_final_target_subject_ref": F.when(F.col("_target").isNotNull(), url_ref("_target")),
+    }
+    return rows.unionByName(_rows(known, URL, url_ref(), fields, source))
+
+
+def canonical_observations(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The canonicals that documents declare: canonical_count, raw_canonicals (the first of
+    them, as they stand), canonicals (those that could be resolved), base_href, base_count.
+
+    All declarations must lead to a whole url, and none may be missing, before targets are
+    counted; a single target is a subject only if one of ``pages`` alone has its identity."""
+    n = F.greatest(F.coalesce("canonical_count", F.lit(0)), F.coalesce(F.size("raw_canonicals"), F.lit(0)), F.coalesce(F.size("canonicals"), F.lit(0)))
+    base = docs.select("run_id", "url_id", "url", "raw_canonicals", "canonicals", "base_href", "base_count", n.cast("int").alias("_n"))
+    source = F.concat(F.lit("pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string"))
+    each = base.select("run_id", "url_id", "url", "base_href", "base_count", "_n", F.posexplode("raw_canonicals").alias("k", "raw"))
+    each = each.withColumn("c", classify_canonical("url", "base_href", "raw", F.col("base_count"))).withColumn("_to", evidence_url("c.resolved"))
+    alone = F.col("_n") == 1
+    rows = _rows(each, URL, url_ref(), {"canonical_raw": F.col("raw"), "canonical_normalized_target": F.col("_to"), "canonical_syntax_status": F.when(alone, F.col("c.status")), "canonical_parse_error": F.when(alone, F.col("c.error"))}, source)
+    resolved = base.select("run_id", "url_id", F.explode("canonicals").alias("c")).distinct()
+    rows = rows.unionByName(_rows(resolved, URL, url_ref(), {"canonical_resolved": _known(F.col("c"))}, source))
+
+    targets = each.groupBy("run_id", "url_id").agg(F.count("*").alias("_kept"), F.count("_to").alias("_good"), F.countDistinct("_to").alias("_distinct"), F.min("_to").alias("_first"))
+    found = base.join(targets, ["run_id", "url_id"], "left").na.fill(0, ["_kept", "_good", "_distinct"])
+    found = found.withColumn("_whole", F.col("_good") == F.col("_n")).withColumn("_one", F.when(F.col("_whole") & (F.col("_distinct") == 1), F.col("_first")))
+    known = found.join(subjects(pages, "_one", "_target"), ["run_id", "_one"], "left")
+    some = F.col("_n") > 0
+    fields = {
+        "canonical_count": F.col("_n"),
+        "canonical_sample_truncated": F.when(some, (F.col("_kept") > 0) & (F.col("_n") > F.col("_kept"))),
+        "canonical_normalization_complete": F.when(some, F.col("_whole")),
+        "canonical_distinct_normalized_count": F.when(some & F.col("_whole"), F.col("_distinct")),
+        "canonical_target_subject_ref": F.when(F.col("_target").isNotNull(), url_ref("_target")),
+    }
+    return rows.unionByName(_rows(known, URL, url_ref(), fields, source))
+
+
+def url_observations(crawl: Crawl, seed_id: int = 1, canonicals: bool = True, follow: bool = True) -> DataFrame:
     """What is known of each page. Canonicals are resolved urls; a target is a subject
-    only if one page alone has its identity."""
-    pages = crawl.pages.withColumn("_self", evidence_url("url")).withColumn("_canonical", F.when(F.col("canonical") != "", evidence_url("canonical")))
-    unique = pages.groupBy("run_id", F.col("_self").alias("_canonical")).agg(F.count("*").alias("_n"), F.min("url_id").alias("_target")).where("_n = 1").select("run_id", "_canonical", "_target")
+    only if one page alone has its identity. Without ``canonicals`` they are left to
+    ``canonical_observations``. Redirect chains are known only of pages with ``redirects``."""
+    pages = crawl.pages.withColumn("_canonical", F.when(F.col("canonical") != "", evidence_url("canonical")))
+    unique = subjects(pages, "_canonical", "_target")
     anchors = crawl.links.where(F.col("flags").bitwiseAND(S.LINK_IMAGE | S.LINK_STYLESHEET | S.LINK_SCRIPT) == 0).where(F.col("flags").bitwiseAND(S.LINK_INTERNAL) != 0)
     counted = anchors.groupBy("run_id", F.col("dst_id").alias("url_id")).agg(F.count("*").alias("_in"))
     rows = pages.join(unique, ["run_id", "_canonical"], "left").join(counted, ["run_id", "url_id"], "left")
@@ -74,11 +143,11 @@ def url_observations(crawl: Crawl, seed_id: int = 1) -> DataFrame:
         "canonical_syntax_status": F.when(ok & F.col("_canonical").isNotNull(), "valid"),
         "canonical_target_subject_ref": F.when(ok & F.col("_target").isNotNull(), url_ref("_target")),
         "effective_noindex": F.when(ok, noindex),
-        "redirect_initial_observed": F.col("status_class") == 3,
-        "redirect_hop_count": F.when(F.col("status_class") == 3, F.col("redirect_hops")),
-        "redirect_final_url": F.when(F.col("status_class") == 3, _known(F.col("redirect_to"))),
+        "redirect_initial_observed": F.when(F.col("status") > 0, F.col("status_class") == 3),
     }
-    return _rows(rows, URL, url_ref(), fields, F.concat(F.lit("pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string")))
+    fields = {k: v for k, v in fields.items() if canonicals or not k.startswith("canonical_")}
+    out = _rows(rows, URL, url_ref(), fields, F.concat(F.lit("pages:"), F.col("run_id"), F.lit(":"), F.col("url_id").cast("string")))
+    return out.unionByName(redirect_observations(crawl.pages, follow)) if "redirects" in crawl.pages.columns else out
 
 
 def link_observations(crawl: Crawl) -> DataFrame:

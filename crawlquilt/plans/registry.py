@@ -306,6 +306,11 @@ def near_duplicates(spark, d):
     return duplicates.near_groups(crawl(spark, d))
 
 
+@query()
+def near_duplicate_issues(spark, d):
+    return duplicates.near_issues(crawl(spark, d))
+
+
 @query(f"WITH t AS (SELECT doc_id, {_SQUASH.format('text')} AS v FROM documents) SELECT min(doc_id) OVER w AS group_id, doc_id, count(*) OVER w AS size FROM t WINDOW w AS (PARTITION BY v) QUALIFY count(*) OVER w > 1")
 def duplicate_documents(spark, d):
     from crawlquilt.functions.text import norm

@@ -33,7 +33,7 @@ DOCUMENT = """
 titles array<string>, meta_descs array<string>, h1s array<string>, h2s array<string>, h3s array<string>,
 canonicals array<string>, raw_canonicals array<string>, canonical_count int, robots_meta array<struct<name:string,content:string>>, meta_robots string,
 meta_tags map<string,string>, og_tags map<string,string>, twitter_tags map<string,string>, meta_refresh string, charset string, lang string, viewport string,
-hreflang array<struct<lang:string,url:string>>, next_url string, prev_url string, base_href string,
+hreflang array<struct<lang:string,url:string>>, next_url string, prev_url string, base_href string, base_count int,
 anchors array<struct<href:string,text:string,rel:string,placement:int,flags:int>>, images array<struct<src:string,alt:string>>, css array<string>, js array<string>,
 json_ld array<string>, microdata array<string>, word_count int, main_text_words int, text_ratio double, data_nosnippet_count int, analytics map<string,string>,
 nav_candidates array<struct<tag:string,target:string>>
@@ -47,7 +47,7 @@ def squash(text: str) -> str:
 class Extractor(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=False)
-        self.url, self.base = url, None
+        self.url, self.base, self.base_count = url, None, 0
         self.stack: list[tuple[str, str]] = []
         self.lists: dict[str, list] = {k: [] for k in MOST}
         self.raw_canonicals: list[str] = []
@@ -126,8 +126,10 @@ class Extractor(HTMLParser):
         self.lang = self.lang or a.get("lang", "").strip()
 
     def on_base(self, a: dict[str, str]) -> None:
-        if self.base is None and "href" in a:
-            self.base = a["href"].strip()
+        if "href" in a:
+            self.base_count += 1
+            if self.base is None:
+                self.base = a["href"].strip()
 
     def on_meta(self, a: dict[str, str]) -> None:
         content = a.get("content", "").strip()
@@ -251,7 +253,7 @@ class Extractor(HTMLParser):
             **{k: self.lists[k] for k in ("titles", "meta_descs", "h1s", "h2s", "h3s", "canonicals", "css", "js", "json_ld", "microdata")},
             "raw_canonicals": self.raw_canonicals, "canonical_count": self.canonical_count, "robots_meta": [{"name": n, "content": c} for n, c in self.robots], "meta_robots": ", ".join(robots),
             "meta_tags": self.meta, "og_tags": self.og, "twitter_tags": self.twitter, "meta_refresh": self.refresh, "charset": self.charset, "lang": self.lang, "viewport": self.viewport,
-            "hreflang": [{"lang": k, "url": u} for k, u in self.hreflang], "next_url": self.next, "prev_url": self.prev, "base_href": self.base or "",
+            "hreflang": [{"lang": k, "url": u} for k, u in self.hreflang], "next_url": self.next, "prev_url": self.prev, "base_href": self.base or "", "base_count": self.base_count,
             "anchors": [dict(zip(("href", "text", "rel", "placement", "flags"), x, strict=True)) for x in self.lists["anchors"]], "images": [{"src": s, "alt": t} for s, t in self.lists["images"]],
             "word_count": self.words, "main_text_words": self.main_words, "text_ratio": self.text_bytes / self.all_bytes if self.all_bytes else 0.0, "data_nosnippet_count": self.nosnippet, "analytics": found,
             "nav_candidates": [{"tag": t, "target": u} for t, u in self.nav],

@@ -51,3 +51,47 @@ def test_documents_to_results(spark):
     assert of("AR-RENDER-001", *urls) == ["PASS", "WARNING", "PASS"] and of("AR-RENDER-004", *urls) == ["PASS"] * 3
     assert of("AR-CANON-011", *urls) == ["PASS"] * 3 and of("AR-LINK-001", "link:r:1:nav:0") == ["WARNING"] and of("AR-DISC-001", "site") == ["PASS"] and of("AR-ACC-001", "site") == ["PASS"]
     assert {r.gap for r in D.gaps(docs).collect()} == {"NOT_RECORDED"}
+
+
+HOP = "array<struct<url:string,location:string,status:int>>"
+
+
+def _statuses(spark, found, rules_):
+    none = spark.createDataFrame([], "policy_assignment_id string, run_id string, policy_key string, policy_value string, scope string, target_ref string")
+    out = {rule: {} for rule in rules_}
+    for r in rules.evaluate(found, none, rules=rules_).collect():
+        out[r.rule_id][int(r.subject_ref.rsplit(":", 1)[1])] = r.status
+    return out
+
+
+def test_redirect_chains_decide_rules(spark):
+    hop = lambda a, b: (f"https://e.com/{a}", b, 301)
+    rows = [
+        (1, 301, 1, "", [hop(1, "/9#top")]), (2, 301, 2, "", [hop(2, "/1"), hop(1, "https://E.com/8")]), (3, 301, 1, "redirect loop", [hop(3, "/3")]), (4, 301, 2, "", [hop(4, "/9")]),
+        (5, 301, 0, "", None), (6, 301, 1, "", [hop(6, "/gone")]), (8, 404, 0, "", []), (9, 200, 0, "", []), (10, 301, 1, "timeout", [hop(10, "/9")]),
+    ]
+    pages = spark.createDataFrame([("r", i, f"https://e.com/{i}", s, n, e, h) for i, s, n, e, h in rows], f"run_id string, url_id long, url string, status int, redirect_hops int, error string, redirects {HOP}")
+    known = evidence._rows(pages, "URL", evidence.url_ref(), {"url_identity": F.col("url"), "http_status": F.col("status"), "redirect_initial_observed": F.col("status").between(300, 399)}, F.lit("s"))
+    found = evidence.freeze([known, evidence.redirect_observations(pages)], "s1").checkpoint()
+    assert evidence.problems(found).count() == 0
+    got = _statuses(spark, found, ["AR-CANON-008", "AR-CANON-009", "AR-CANON-010"])
+    assert got["AR-CANON-008"] == {1: "PASS", 2: "FAIL", 3: "UNKNOWN", 4: "UNKNOWN", 5: "UNKNOWN", 6: "PASS", 8: "NOT_APPLICABLE", 9: "NOT_APPLICABLE", 10: "UNKNOWN"}
+    assert got["AR-CANON-009"] == {1: "PASS", 2: "PASS", 3: "FAIL", 4: "UNKNOWN", 5: "UNKNOWN", 6: "PASS", 8: "NOT_APPLICABLE", 9: "NOT_APPLICABLE", 10: "UNKNOWN"}
+    assert got["AR-CANON-010"] == {1: "PASS", 2: "FAIL", 3: "NOT_APPLICABLE", 4: "UNKNOWN", 5: "UNKNOWN", 6: "UNKNOWN", 8: "NOT_APPLICABLE", 9: "NOT_APPLICABLE", 10: "UNKNOWN"}
+    hops = {(r.subject_ref, r.value) for r in found.where("field = 'redirect_hop'").collect()}
+    assert len(hops) == 7 and ("url:r:1", '{"hop_index":0,"source_url":"https://e.com/1","status":301,"resolved_target_url":"https://e.com/9"}') in hops
+    unfollowed = {r.subject_ref: r.value for r in evidence.redirect_observations(pages, follow=False).where("field = 'redirect_traversal_complete'").collect()}
+    assert unfollowed == {f"url:r:{i}": "false" for i in (1, 2, 3, 5, 6, 10)}
+    assert evidence.redirect_observations(pages.limit(0)).count() == 0
+
+
+def test_declared_canonicals_decide_rules(spark):
+    heads = {1: '<link rel="canonical" href="/2#x">', 2: "", 3: '<link rel="canonical" href="http://[bad">', 4: '<link rel="canonical" href="/2"><link rel="canonical" href="https://e.com/2">', 5: '<link rel="canonical" href="/1"><link rel="canonical" href="/2">', 6: '<base href="/a/"><base href="/b/"><link rel="canonical" href="c">', 7: '<link rel="canonical" href="/2">' * 7}
+    raw = spark.createDataFrame([("r", i, f"https://e.com/{i}", f"<html><head>{h}</head><body>x</body></html>") for i, h in heads.items()], "run_id string, url_id long, url string, html string")
+    docs = html.documents(raw).checkpoint()
+    known = evidence._rows(raw, "URL", evidence.url_ref(), {"url_identity": F.col("url"), "http_status": F.lit(200), "content_type": F.lit("text/html"), "html_extraction_status": F.lit("complete")}, F.lit("s"))
+    found = evidence.freeze([known, evidence.canonical_observations(docs, raw)], "s1").checkpoint()
+    got = _statuses(spark, found, ["AR-CANON-004", "AR-CANON-005", "AR-CANON-006"])
+    assert got["AR-CANON-005"] == {1: "PASS", 2: "NOT_APPLICABLE", 3: "FAIL", 4: "NOT_APPLICABLE", 5: "NOT_APPLICABLE", 6: "UNKNOWN", 7: "UNKNOWN"}
+    assert [got["AR-CANON-004"][i] for i in (1, 2, 4, 5)] == ["PASS", "NOT_APPLICABLE", "WARNING", "FAIL"]
+    assert [got["AR-CANON-006"][i] for i in (1, 2, 3, 4, 5, 7)] == ["PASS", "NOT_APPLICABLE", "UNKNOWN", "PASS", "NOT_APPLICABLE", "UNKNOWN"]

@@ -42,7 +42,19 @@ def test_resolution_of_links_and_canonicals(spark):
     rows = [("https://e.com/a/b", "../c#d"), ("https://e.com/", "mailto:x@y"), ("https://e.com/", "#top"), ("https://e.com/", "//f.com/g"), ("https://e.com/", "http://[bad")]
     assert values(spark, rows, urls.resolve_link("a", "b")) == ["https://e.com/c", None, None, "https://f.com/g", None]
     rows = [("https://e.com/p", None, "/c"), ("https://e.com/p", "https://f.com/d/", "c"), ("https://e.com/p", None, "http://h:99999/"), ("https://e.com/p", None, "ftp://e.com/x"), (None, None, "/c"), ("https://e.com/p", None, "")]
-    assert [r["status"] for r in values(spark, rows, urls.classify_canonical("a", "b", "c"))] == ["valid", "valid", "parser_error", "resolution_error", "insufficient_evidence", "insufficient_evidence"]
+    assert [r["status"] for r in values(spark, rows, urls.classify_canonical("a", "b", "c"))] == ["valid", "valid", "parser_error", "resolution_error", "insufficient_evidence", "parser_error"]
+
+
+@pytest.mark.parametrize(("base", "bases", "raw", "want"), [
+    ("", 0, "", ("parser_error", "empty_href")), ("", 0, "/a b", ("parser_error", "malformed_url")), ("", 0, "http://[bad", ("parser_error", "malformed_url")),
+    ("", 0, "mailto:x@y", ("resolution_error", "unsupported_scheme")), ("", 0, "http:///p", ("resolution_error", "missing_host")), ("", 0, "///p", ("resolution_error", "missing_host")),
+    ("/d/", 2, "c", ("insufficient_evidence", "missing_base_context")), ("/d/", 2, "https://f.com/c", "https://f.com/c"), ("/d/", 1, "c", "https://e.com/d/c"), ("#t", 1, "c#x", "https://e.com/a/c"),
+    ("/d /", 1, "c", ("insufficient_evidence", "ambiguous_base_fallback")), ("mailto:x", 1, "c", ("resolution_error", "non_hierarchical_base")), ("ftp://f.com/", 1, "c", ("resolution_error", "unsupported_scheme")),
+    ("http:///d/", 1, "c", ("insufficient_evidence", "ambiguous_base_fallback")), ("//cdn.e.com/d/", 1, "c", "https://cdn.e.com/d/c"),
+])
+def test_declared_canonicals(base, bases, raw, want):
+    got = urls._declared("https://e.com/a/b", base, bases, raw)
+    assert got == (("valid", want, None) if isinstance(want, str) else (want[0], None, ":".join(want)))
 
 
 @pytest.mark.parametrize(("directives", "want", "found"), [("noindex, follow", "noindex", True), ("googlebot: noindex", "noindex", True), ("max-snippet:-1", "noindex", False), ("unavailable_after: noindex", "noindex", False), (None, "noindex", False)])

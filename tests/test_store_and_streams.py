@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from crawlquilt.operators import frontier, pagespeed
+from crawlquilt.operators import duplicates, frontier, pagespeed
 from crawlquilt.schema import Crawl
 from crawlquilt.sources import store
 from crawlquilt.streaming import crawl as streams
@@ -127,3 +127,20 @@ def test_crawl_of_nothing(spark):
     links = spark.createDataFrame([], "run_id string, src_id long, dst_id long, seq int, flags int, placement int")
     c = Crawl(pages=pages, links=links)
     assert issues.evaluate(pages).count() == 0 and finalize.orphans(c).count() == 0 and finalize.canonical_targets(c).count() == 0
+
+
+def test_near_duplicate_issues_equal_brute_force(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    title = lambda i: " ".join(words[(i // 4 + k) % 10] for k in range(4))
+    rows = [("r1", i, f"https://e.com/{i}", title(i) + (" more" if i % 4 == 1 else ""), f"About {title(i)}", title(i).upper() if i % 4 < 3 else "Other", 100 + i % 4, "html", 2, i % 7 != 6, True) for i in range(1, 40)]
+    rows += [("r1", 40, "https://e.com/40", "", "", "", 100, "html", 2, True, True), *[("r1", i, f"https://e.com/{i}", "Solo" if i > 41 else None, None, None, None, "html", 2, True, True) for i in (41, 42, 43)]]
+    pages = spark.createDataFrame(rows, "run_id string, url_id long, url string, title string, meta_desc string, h1 string, word_count int, kind string, status_class int, indexable boolean, is_internal boolean")
+    got = {r.url_id: (r.code, r.detail) for r in duplicates.near_issues(Crawl(pages=pages)).collect()}
+    fields = {r[1]: (r[3].lower(), (r[4] or "").lower(), (r[5] or "").lower(), r[6] or 0) for r in rows if r[9] and r[3]}
+    best: dict[int, tuple[float, int]] = {}
+    for a in fields:
+        for b in fields:
+            if a < b and (score := duplicates.similarity(fields[a], fields[b])) >= duplicates.THRESHOLD:
+                for x, y in ((a, b), (b, a)):
+                    best[x] = max(best.get(x, (0.0, 0)), (score, -y))
+    assert got == {i: ("duplicate-page", f"https://e.com/{-y}") for i, (_, y) in best.items()} and len(got) > 10
