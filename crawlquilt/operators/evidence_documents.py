@@ -71,11 +71,13 @@ def block_observations(docs: DataFrame) -> DataFrame:
 
 
 def document_observations(docs: DataFrame, seed_host: str) -> DataFrame:
-    """Pagination, snippets and main text of documents; controls in navigation that lead
+    """Pagination (links that lead to different next pages leave the element unknown),
+    snippets and main text of documents; controls in navigation that lead
     somewhere without a link are links of their own, internal on the seed's host."""
-    more = F.col("next_url") != ""
+    more = (F.col("next_url") != "") | (F.col("next_tag") != "")
+    paged = more | F.col("paged") | (F.col("prev_url") != "")
     fields = {
-        "pagination_detected": more | (F.col("prev_url") != ""), "has_next_page": F.when(more | (F.col("prev_url") != ""), more), "next_page_url": _known(F.col("next_url")), "next_page_element_tag": F.when(more, "a"),
+        "pagination_detected": paged, "has_next_page": F.when(paged, more), "next_page_url": _known(F.col("next_url")), "next_page_element_tag": F.when(more & ~F.col("next_conflict"), F.coalesce(_known(F.col("next_tag")), F.lit("a"))),
         "data_nosnippet_count": F.col("data_nosnippet_count"), "main_text_present_raw": F.col("main_text_words") > 0,
     }
     out = _rows(docs, URL, url_ref(), fields, _page())

@@ -38,13 +38,16 @@ def admission(offers: DataFrame, seed_host: str, max_depth: int = 10, max_urls:
 
 def dense_ids(rows: DataFrame, order: str, name: str, width: int = 1 << 16) -> DataFrame:
     """Numbers 1, 2, ... in the order of a column of distinct integers. Counts by stretch
-    of the column give each stretch its first number, so none needs all rows."""
+    of the column, and by stretch of stretches, give each its first number, so that no
+    task needs all rows, or all stretches where the column is sparse."""
     stretch = F.floor(F.col(order) / width)
-    counts = rows.groupBy(stretch.alias("_s")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)))
+    counts = rows.groupBy(stretch.alias("_s")).agg(F.count("*").alias("_n")).withColumn("_g", F.floor(F.col("_s") / width))
+    earlier = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("_g").agg(F.sum("_n").alias("_m")).select("_g", earlier(Window.orderBy("_g"), "_m").alias("_first"))
+    before = counts.join(groups, "_g").select("_s", (F.col("_first") + earlier(Window.partitionBy("_g").orderBy("_s"), "_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_s").orderBy(order))
-    numbered = rows.withColumn("_s", stretch).withColumn("_k", within).join(F.broadcast(before), "_s")
-    return numbered.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_k")).drop("_s", "_k", "_n", "_before")
+    numbered = rows.withColumn("_s", stretch).withColumn("_k", within).join(before, "_s")
+    return numbered.withColumn(name, F.col("_before") + F.col("_k")).drop("_s", "_k", "_before")
 
 
 def depths(seeds: DataFrame, links: DataFrame, max_depth: int = 30) -> DataFrame:
@@ -62,14 +65,19 @@ def depths(seeds: DataFrame, links: DataFrame, max_depth: int = 30) -> DataFrame
     return reached
 
 
-def collect_links(pages: DataFrame) -> DataFrame:
-    """Edges of pages from their anchors, images, css and js arrays, numbered in that order."""
+def collect_links(pages: DataFrame, seed_host: str = "", subdomains: bool = False) -> DataFrame:
+    """Edges of pages from their anchors, images, css and js arrays, numbered in that order;
+    those to the site of ``seed_host``, if given, are internal."""
     edge = lambda to, placement, flags, anchor: F.struct(to.alias("url"), placement.cast("int").alias("placement"), flags.cast("int").alias("flags"), anchor.alias("anchor"))
     anchors = F.transform("anchors", lambda a: edge(a["href"], a["placement"], a["flags"], a["text"]))
     plain = lambda c, placement, flag: F.transform(c, lambda u: edge(u, F.lit(placement), F.lit(flag), F.lit("")))
     images = F.transform("images", lambda i: edge(i["src"], F.lit(S.IMAGE_PLACE), F.lit(S.LINK_IMAGE), i["alt"]))
     every = F.concat(anchors, images, plain("css", S.BODY, S.LINK_STYLESHEET), plain("js", S.BODY, S.LINK_SCRIPT))
-    return pages.select("run_id", F.col("url_id").alias("src_id"), F.posexplode(every).alias("seq", "e")).select("run_id", "src_id", "seq", "e.url", "e.placement", "e.flags", "e.anchor")
+    edges = pages.select("run_id", F.col("url_id").alias("src_id"), F.posexplode(every).alias("seq", "e")).select("run_id", "src_id", "seq", "e.url", "e.placement", "e.flags", "e.anchor")
+    if not seed_host:
+        return edges
+    inside = F.when(same_site(F.lit(seed_host), host("url"), subdomains), S.LINK_INTERNAL).otherwise(0)
+    return edges.withColumn("flags", F.col("flags").bitwiseOR(inside))
 
 
 def referenced_urls(pages: DataFrame) -> DataFrame:

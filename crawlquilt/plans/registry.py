@@ -505,7 +505,7 @@ def page_links(spark, d):
     from crawlquilt.sources import html
 
     docs = html.documents(read(spark, d, "pages").select(F.lit("r1").alias("run_id"), (F.col("page_id") + 1).alias("url_id"), "url", "html"))
-    return frontier.collect_links(docs)
+    return frontier.collect_links(docs, "example.com")
 
 
 @query()

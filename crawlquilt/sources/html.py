@@ -21,10 +21,20 @@ ANCHOR_TEXT = 100
 SCRIPT_TEXT = 256 << 10
 # Labels of links to a next page.
 NEXT_LABELS = ("next page", "go to next page")
+# Attributes that say where a control leads.
+TARGETS = ("data-href", "data-url", "data-route", "data-target", "data-link")
+# Crawlers that a robots meta element may be for.
+AGENTS = {
+    "googlebot", "googlebot-news", "googlebot-image", "googlebot-video", "adsbot-google", "adsbot-google-mobile", "mediapartners-google", "apis-google", "google-extended",
+    "bingbot", "adidxbot", "msnbot", "oai-searchbot", "oaisearchbot", "gptbot", "chatgpt-user", "claudebot", "anthropic-ai", "perplexitybot", "applebot", "applebot-extended",
+    "slurp", "duckduckbot", "baiduspider", "yandex", "facebookexternalhit", "meta-externalagent", "twitterbot", "linkedinbot", "bytespider", "ccbot",
+}
 SILENT = ("script", "style", "noscript", "template")
 
 _WORD = re.compile(r"[^\W]+", re.UNICODE)
 _SPACE = re.compile(r"\s+")
+#: A path or url in quotes, in the code of a control.
+_IN_CODE = re.compile(r"""['"](/[^'"\s]*|https?://[^'"\s]+)['"]""")
 # What analytics scripts are known by.
 DETECTORS = {"ga4_id": r"G-[A-Z0-9]{6,}", "gtm_id": r"GTM-[A-Z0-9]{4,}"}
 TOOLS = {"google_analytics": ["google-analytics.com", "googletagmanager.com/gtag"], "facebook_pixel": ["connect.facebook.net", "fbq("], "hotjar": ["static.hotjar.com", "hjid"], "mixpanel": ["cdn.mxpnl.com", "mixpanel.init"]}
@@ -33,7 +43,7 @@ DOCUMENT = """
 titles array<string>, meta_descs array<string>, h1s array<string>, h2s array<string>, h3s array<string>,
 canonicals array<string>, raw_canonicals array<string>, canonical_count int, robots_meta array<struct<name:string,content:string>>, meta_robots string,
 meta_tags map<string,string>, og_tags map<string,string>, twitter_tags map<string,string>, meta_refresh string, charset string, lang string, viewport string,
-hreflang array<struct<lang:string,url:string>>, next_url string, prev_url string, base_href string, base_count int,
+hreflang array<struct<lang:string,url:string>>, next_url string, prev_url string, next_tag string, next_conflict boolean, paged boolean, base_href string, base_count int,
 anchors array<struct<href:string,text:string,rel:string,placement:int,flags:int>>, images array<struct<src:string,alt:string>>, css array<string>, js array<string>,
 json_ld array<string>, microdata array<string>, word_count int, main_text_words int, text_ratio double, data_nosnippet_count int, analytics map<string,string>,
 nav_candidates array<struct<tag:string,target:string>>
@@ -58,7 +68,8 @@ class Extractor(HTMLParser):
         self.twitter: dict[str, str] = {}
         self.refresh = self.charset = self.lang = self.viewport = ""
         self.hreflang: list[tuple[str, str]] = []
-        self.next = self.prev = ""
+        self.next = self.prev = self.next_tag = self.next_href = ""
+        self.next_conflict = self.paged = False
         self.words = self.main_words = self.nosnippet = self.text_bytes = self.all_bytes = 0
         self.scripts: list[str] = []
         self.script_size = 0
@@ -112,8 +123,10 @@ class Extractor(HTMLParser):
             self.keep("microdata", a.get("itemtype", ""))
         if tag in ("title", "h1", "h2", "h3"):
             self.open.append({"tag": tag, "kind": f"{tag}s", "text": []})
-        if tag in ("button", "div", "span") and self.where() in (1, 3) and (target := a.get("data-href") or a.get("data-url")):
-            self.nav.append((tag, self.resolve(target)))
+        if tag in ("a", "button", "span", "div", "li"):
+            self.paginate(tag, a)
+            if self.where() in (1, 3) and (target := self.leads_to(tag, a)):
+                self.nav.append((tag, self.resolve(target)))
         if tag not in ("meta", "link", "img", "br", "hr", "input", "base", "source", "area", "col", "embed", "wbr"):
             self.stack.append((tag, self.place(tag, a)))
 
@@ -122,6 +135,32 @@ class Extractor(HTMLParser):
         if self.stack and self.stack[-1][0] == tag:
             self.handle_endtag(tag)
 
+    def paginate(self, tag: str, a: dict[str, str]) -> None:
+        """The element that leads to the next page: the first link, else the first control."""
+        rel, href = a.get("rel", "").lower().split(), a.get("href", "").strip()
+        self.paged |= "prev" in rel or "previous" in rel
+        if "next" not in rel and "data-next-page" not in a and squash(a.get("aria-label", "")).lower() not in NEXT_LABELS:
+            return
+        self.paged = True
+        if tag == "a":
+            self.next = self.next or self.resolve(href)
+            self.next_conflict |= self.next_tag == "a" and "" not in (href, self.next_href) and href != self.next_href
+        if not self.next_tag or (tag == "a" and self.next_tag != "a"):
+            self.next_tag, self.next_href = tag, href
+
+    @staticmethod
+    def leads_to(tag: str, a: dict[str, str]) -> str:
+        """Where a control leads that isn't a link a crawler follows; empty if nowhere."""
+        href = a.get("href", "").strip()
+        script = href.lower().startswith("javascript:")
+        if tag == "a" and href and not script and not href.startswith("#"):
+            return ""
+        said = next((v for k in TARGETS if (v := a.get(k, "").strip())), "")
+        for code in (href if script else "", a.get("onclick", "")):
+            if not said and (m := _IN_CODE.search(code)):
+                said = m[1]
+        return "" if said.startswith("#") else said
+
     def on_html(self, a: dict[str, str]) -> None:
         self.lang = self.lang or a.get("lang", "").strip()
 
@@ -148,7 +187,7 @@ class Extractor(HTMLParser):
             self.twitter.setdefault(name or prop, content)
         if name == "description" and content:
             self.keep("meta_descs", squash(content))
-        if name == "robots" or name.endswith("bot"):
+        if name == "robots" or name in AGENTS or name.startswith(("googlebot-", "googlebot_")):
             self.robots.append((name, content))
         if name == "viewport":
             self.viewport = self.viewport or content
@@ -173,8 +212,6 @@ class Extractor(HTMLParser):
             self.hreflang.append((a["hreflang"].strip(), self.resolve(href)))
 
     def on_a(self, a: dict[str, str]) -> None:
-        if "next" in a.get("rel", "").lower().split() or "data-next-page" in a or squash(a.get("aria-label", "")).lower() in NEXT_LABELS:
-            self.next = self.next or self.resolve(a.get("href", ""))
         self.open.append({"tag": "a", "kind": "anchors", "text": [], "href": self.resolve(a.get("href", "")), "rel": a.get("rel", ""), "place": self.where(), "alt": ""})
 
     def on_img(self, a: dict[str, str]) -> None:
@@ -253,7 +290,7 @@ class Extractor(HTMLParser):
             **{k: self.lists[k] for k in ("titles", "meta_descs", "h1s", "h2s", "h3s", "canonicals", "css", "js", "json_ld", "microdata")},
             "raw_canonicals": self.raw_canonicals, "canonical_count": self.canonical_count, "robots_meta": [{"name": n, "content": c} for n, c in self.robots], "meta_robots": ", ".join(robots),
             "meta_tags": self.meta, "og_tags": self.og, "twitter_tags": self.twitter, "meta_refresh": self.refresh, "charset": self.charset, "lang": self.lang, "viewport": self.viewport,
-            "hreflang": [{"lang": k, "url": u} for k, u in self.hreflang], "next_url": self.next, "prev_url": self.prev, "base_href": self.base or "", "base_count": self.base_count,
+            "hreflang": [{"lang": k, "url": u} for k, u in self.hreflang], "next_url": self.next, "prev_url": self.prev, "next_tag": self.next_tag, "next_conflict": self.next_conflict, "paged": self.paged, "base_href": self.base or "", "base_count": self.base_count,
             "anchors": [dict(zip(("href", "text", "rel", "placement", "flags"), x, strict=True)) for x in self.lists["anchors"]], "images": [{"src": s, "alt": t} for s, t in self.lists["images"]],
             "word_count": self.words, "main_text_words": self.main_words, "text_ratio": self.text_bytes / self.all_bytes if self.all_bytes else 0.0, "data_nosnippet_count": self.nosnippet, "analytics": found,
             "nav_candidates": [{"tag": t, "target": u} for t, u in self.nav],

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -88,18 +88,30 @@ def crawl_delay(body: Column) -> Column:
     return F.regexp_extract(body, r"(?im)^[ \t]*crawl-delay[ \t]*:[ \t]*([0-9.]+)", 1).try_cast("double")
 
 
+def gunzipped(data: bytes, most: int) -> bytes:
+    """The first ``most`` bytes that gzip members unpack to; no more are ever unpacked."""
+    out = b""
+    while data and len(out) < most:
+        member = zlib.decompressobj(wbits=31)
+        out += member.decompress(data, most - len(out))
+        if not member.eof and len(out) < most:
+            raise EOFError("gzip data ended early")
+        data = member.unused_data.lstrip(b"\x00")
+    return out
+
+
 def parse_sitemap(data: bytes | None) -> tuple[str, str, str, list[dict]]:
     """(doc_type, parse_status, parse_error, entries) of a sitemap, gzip or not."""
     if data is None:
         return "unknown", "unavailable", "", []
     try:
         if data[:2] == b"\x1f\x8b":
-            data = gzip.decompress(data)
+            data = gunzipped(data, MOST_BYTES)
         data = data[:MOST_BYTES]
         if not data.strip():
             return "unknown", "empty_input", "", []
         root = ElementTree.fromstring(data)
-    except (ElementTree.ParseError, OSError, EOFError, ValueError) as e:
+    except (ElementTree.ParseError, EOFError, ValueError, zlib.error) as e:
         return "unknown", "xml_error", str(e)[:200], []
     name = lambda e: e.tag.rpartition("}")[2].lower()
     kind = name(root)

@@ -124,6 +124,15 @@ def test_sitemaps(spark):
     assert [e.loc for e in out["b"].entries] == ["https://e.com/", "https://e.com/b"] and out["c"].doc_type == "sitemapindex"
 
 
+def test_gzip_data_is_unpacked_up_to_a_limit():
+    import gzip
+
+    two = gzip.compress(b"ab" * 50) + gzip.compress(b"cd")
+    assert robots.gunzipped(two, 1000) == b"ab" * 50 + b"cd" and robots.gunzipped(two, 7) == b"abababa"
+    assert len(robots.gunzipped(gzip.compress(bytes(10**7)), 1 << 10)) == 1 << 10
+    assert robots.parse_sitemap(two[:20])[1] == "xml_error"
+
+
 PAGE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title> A &amp; B </title><title>second</title><base href="/sub/">
 <meta name="description" content=" Some  text "><meta name="robots" content="noindex"><meta property="og:title" content="o"><link rel="canonical" href="c.html"><link rel="alternate" hreflang="vi" href="/vi">
 <script type="application/ld+json">{"a": 1}</script><script>gtag('G-ABCDEF1'); hjid</script><style>p{}</style></head>
@@ -140,6 +149,30 @@ def test_extraction():
     assert html.extract(None, "https://e.com/")["word_count"] == 0
 
 
+@pytest.mark.parametrize(("body", "want"), [
+    ('<a rel="next" href="/2">n</a>', ("https://e.com/2", "a", False, True)), ('<button data-next-page="2">n</button>', ("", "button", False, True)), ('<a rel="previous" href="/0">p</a>', ("", "", False, True)),
+    ('<li aria-label="Next page">n</li><a rel="next" href="/2">n</a>', ("https://e.com/2", "a", False, True)), ('<a rel="next" href="/2">n</a><a rel="next" href="/3">n</a>', ("https://e.com/2", "a", True, True)),
+    ('<a rel="next" href="/2">n</a><a data-next-page href="/2">n</a>', ("https://e.com/2", "a", False, True)), ('<a href="/2">n</a>', ("", "", False, False)),
+])
+def test_pagination_of_documents(body, want):
+    d = html.extract(f"<html><body>{body}</body></html>", "https://e.com/1")
+    assert (d["next_url"], d["next_tag"], d["next_conflict"], d["paged"]) == want
+
+
+@pytest.mark.parametrize(("control", "want"), [
+    ('<div data-route="/r">x</div>', [("div", "https://e.com/r")]), ('<a href="#" data-link="/r">x</a>', [("a", "https://e.com/r")]), ("<a href=\"javascript:go('/r')\">x</a>", [("a", "https://e.com/r")]),
+    ("<li onclick=\"location='https://o.com/z'\">x</li>", [("li", "https://o.com/z")]), ('<a href="/r" data-link="/s">x</a>', []), ('<button data-target="#menu">x</button>', []), ('<span onclick="toggle()">x</span>', []),
+])
+def test_controls_in_navigation(control, want):
+    found = lambda place: [(c["tag"], c["target"]) for c in html.extract(f"<html><body><{place}>{control}</{place}></body></html>", "https://e.com/1")["nav_candidates"]]
+    assert found("nav") == found("header") == want and found("main") == []
+
+
+def test_robots_elements_of_documents():
+    names = {"robots": True, "slurp": True, "google-extended": True, "googlebot-other": True, "somebot": False, "viewport": False}
+    assert {n: bool(html.extract(f'<meta name="{n}" content="noindex">', "https://e.com/")["robots_meta"]) for n in names} == names
+
+
 def test_document_columns(spark):
     df = spark.createDataFrame([(1, "https://e.com/p", PAGE, "x"), (2, "https://e.com/q", None, "y")], "page_id long, url string, html string, extra string")
     out = {r.page_id: r for r in html.facts(html.documents(df)).collect()}

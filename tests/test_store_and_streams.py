@@ -57,6 +57,7 @@ def test_links_and_references(spark):
     row = ("r", 1, [("https://e.com/a", 1, 2, "x")], [("https://e.com/i.png", "alt")], ["https://e.com/c.css"], [], ["https://e.com/self"], [("vi", "https://e.com/vi")], "https://e.com/2", "")
     page = spark.createDataFrame([row], "run_id string, url_id long, anchors array<struct<href:string,placement:int,flags:int,text:string>>, images array<struct<src:string,alt:string>>, css array<string>, js array<string>, canonicals array<string>, hreflang array<struct<lang:string,url:string>>, next_url string, prev_url string")
     assert [(r.seq, r.url, r.placement, r.flags, r.anchor) for r in frontier.collect_links(page).orderBy("seq").collect()] == [(0, "https://e.com/a", 1, 2, "x"), (1, "https://e.com/i.png", 4, 16, "alt"), (2, "https://e.com/c.css", 0, 32, "")]
+    assert [r.flags for r in frontier.collect_links(page, "www.e.com").orderBy("seq").collect()] == [3, 17, 33] and [r.flags for r in frontier.collect_links(page, "o.com").orderBy("seq").collect()] == [2, 16, 32]
     assert {r.url for r in frontier.referenced_urls(page).collect()} == {"https://e.com/self", "https://e.com/vi", "https://e.com/2"}
 
 
