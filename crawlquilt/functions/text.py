@@ -64,15 +64,20 @@ def glob_regex(pattern: str) -> str:
 
 
 def excluded(url_path: Column, query: Column, patterns: list[str]) -> Column:
-    """Whether a path (with its query, for patterns that start with ``?``) matches a pattern."""
-    paths = [p for p in patterns if not p.startswith("?")]
-    queries = [p for p in patterns if p.startswith("?")]
-    hit = F.lit(False)
-    if paths:
-        hit = hit | url_path.rlike("^(?:" + "|".join(glob_regex(p) for p in paths) + ")$")
-    if queries:
-        hit = hit | F.concat(F.lit("?"), query).rlike("(?:^|[?&])(?:" + "|".join(glob_regex(p[1:]) for p in queries) + ")")
-    return hit
+    """Whether a path matches a pattern whole; where a pattern has a ``?`` or ``&``, also
+    the path with its query, and the query alone for those like ``?x=*``. Blank patterns and
+    those after ``#`` count for nothing, an empty path is ``/``, a null one is not excluded."""
+    kept = [p for x in patterns if (p := x.strip()) and not p.startswith("#")]
+    if not kept:
+        return F.lit(False)
+    whole = "(?s)^(?:" + "|".join(glob_regex(p) for p in kept) + r")\z"
+    place = F.when(url_path == "", "/").otherwise(url_path)
+    hit = place.rlike(whole)
+    if any(c in p for p in kept for c in "?&"):
+        asked = F.concat(F.lit("?"), F.coalesce(query, F.lit("")))
+        alone = [re.escape(p[:-1]) for p in kept if p.startswith("?") and p.find("*") == len(p) - 1]
+        hit = hit | ((asked != "?") & (F.concat(place, asked).rlike(whole) | (asked.rlike("^(?:" + "|".join(alone) + ")") if alone else F.lit(False))))
+    return F.coalesce(hit, F.lit(False))
 
 
 def robots_pattern_regex(pattern: str) -> str:

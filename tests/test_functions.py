@@ -188,3 +188,16 @@ def test_robots_groups_are_chosen_by_prefix_and_next_pages_by_label():
     assert matched_rule(body, "crawler", "/b") == (False, "disallow: /b") and matched_rule(body, "bot", "/c")[0] is False
     labels = {"Next article": "", "Next page": "https://x.org/2", " go to  next page": "https://x.org/2"}
     assert {k: extract(f'<a href="/2" aria-label="{k}">x</a>', "https://x.org/")["next_url"] for k in labels} == labels
+
+
+def test_exclusions(spark):
+    from crawlquilt.operators.issues import DEFAULT_EXCLUSIONS
+
+    cases = {
+        ("/wp-admin/x", ""): True, ("/login", ""): True, ("/a/login", ""): False, ("/amp", ""): True, ("/amp2", ""): False, ("/a/search/b", ""): True, ("/data.json", ""): True, ("/data.jsonp", ""): False,
+        ("/a", "s=q"): True, ("/a", "x=1&s=q"): False, ("", ""): False, ("/.envx", ""): False, ("/old/\n", ""): True, ("/a", "f=x.json"): True, (None, None): False,
+    }
+    assert len(DEFAULT_EXCLUSIONS) == len(set(DEFAULT_EXCLUSIONS))
+    assert values(spark, list(cases), text.excluded(F.col("a"), F.col("b"), DEFAULT_EXCLUSIONS)) == list(cases.values())
+    assert values(spark, [("/a", "x=1"), ("/b", "")], text.excluded(F.col("a"), F.col("b"), [" # /a", "", "/a?x=*"])) == [True, False]
+    assert values(spark, [("/a", "x=1")], text.excluded(F.col("a"), F.col("b"), ["#"])) == [False]
