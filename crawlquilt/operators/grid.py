@@ -139,11 +139,12 @@ def row_flags() -> Column:
     return bit(_flag("is_internal"), S.ROW_INTERNAL) + bit(_flag("indexable"), S.ROW_INDEXABLE) + bit(F.col("issue_count") > 0, S.ROW_HAS_ISSUES) + bit(_flag("rendered"), S.ROW_RENDERED) + bit(_flag("orphan"), S.ROW_ORPHAN)
 
 
-def rows(crawl: Crawl, tab: str = "internal", filter: str = "", search: str = "", cols: Sequence[str] = (), sort: str = "", desc: bool = False, offset: int = 0, limit: int = 0, ids: Sequence[str] = ()) -> DataFrame:
+def rows(crawl: Crawl, tab: str = "internal", filter: str = "", search: str = "", cols: Sequence[str] = (), sort: str = "", desc: bool = False, offset: int = 0, limit: int = 0, ids: Sequence[str] = (), by_text: bool = False) -> DataFrame:
     """One window of a grid: url_id, flags and the asked cells. Ties go by url_id in the
-    direction of the sort; Spark keeps the first rows of each partition only."""
+    direction of the sort; Spark keeps the first rows of each partition only. ``by_text``
+    sorts by a cell's text, so that 6 comes after 12."""
     found = filtered(crawl, tab, filter, search, ids)
-    by = [SORTS[sort], "url_id"] if SORTS.get(sort) in found.columns else ["url_id"]
+    by = [F.col(SORTS[sort]).cast("string") if by_text else SORTS[sort], "url_id"] if SORTS.get(sort) in found.columns else ["url_id"]
     order = [F.desc(c) if desc else F.asc(c) for c in by]
     limit = min(limit, MAX_LIMIT) if limit > 0 else DEFAULT_LIMIT
     window = found.orderBy(*order).offset(max(offset, 0)).limit(limit)

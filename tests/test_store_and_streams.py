@@ -145,3 +145,12 @@ def test_near_duplicate_issues_equal_brute_force(spark):
                 for x, y in ((a, b), (b, a)):
                     best[x] = max(best.get(x, (0.0, 0)), (score, -y))
     assert got == {i: ("duplicate-page", f"https://e.com/{-y}") for i, (_, y) in best.items()} and len(got) > 10
+
+
+def test_grid_sorts_by_number_or_by_text(spark):
+    from crawlquilt.operators import grid
+
+    rows = [("r", i, f"https://e.com/{i}", n, True, True, 0, False, False) for i, n in ((1, 12), (2, 6), (3, 6), (4, 100))]
+    pages = spark.createDataFrame(rows, "run_id string, url_id long, url string, inlinks long, is_internal boolean, indexable boolean, issue_count int, rendered boolean, orphan boolean")
+    window = lambda **kw: [r.url_id for r in grid.rows(Crawl(pages=pages), sort="inlinks", desc=True, limit=3, **kw).collect()]
+    assert window() == [4, 1, 3] and window(by_text=True) == [3, 2, 1]
