@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlquilt.llm.common import FoldedWords, arrow_schema, columns_batch, matching, mix, scratch, table, text_key, written
+from crawlquilt.llm.common import MOST_SENT, FoldedWords, arrow_schema, columns_batch, matching, mix, scratch, table, text_key, written
 from crawlquilt.llm.components import components
 
 N = 3
@@ -232,11 +232,25 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, _SETS)
 
 
-def _filtered(pairs: DataFrame, prefixes: DataFrame, orders: int) -> DataFrame:
+def _members(emitted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, id, n, pos, s1, s2) of each class in each bucket of two classes or more."""
+    # Dealt by token once, for the counts and for the join with them: the exchange is used
+    # again only if both read the same rows and columns, so the counts read the place as
+    # well, and d1 is said to be known, as the join with the classes asks of one of them.
+    tokens = emitted.where("token IS NOT NULL AND d1 IS NOT NULL").select("token", "d1", F.col("place").cast("int").alias("place")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high"), F.min("place").alias("least")).where("low <> high AND least >= 0").select("token")
+    # A class has a row for each task that met it; they lie together still, and go before the next shuffle.
+    each = tokens.join(shared, "token").groupBy("token", "d1").agg(F.min("place").alias("pos"))
+    return each.join(classes.select("d1", "id", "n", "s1", "s2"), "d1").select("token", *_MEMBER)
+
+
+def _filtered(pairs: DataFrame, classes: DataFrame, emitted: DataFrame, orders: int) -> DataFrame:
     """The pairs (a, b) that share a prefix token under every further order."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = written(classes.join(ids, "id").select("d1", "d2", "id"))
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     # A class has a row for each task that met it.
-    prefixes = written(prefixes.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    prefixes = written(emitted.where("token IS NULL").join(wanted, ["d1", "d2"]).select("id", "others").dropDuplicates(["id"]))
     left = prefixes.select(F.col("id").alias("a"), F.col("others").alias("oa"))
     right = prefixes.select(F.col("id").alias("b"), F.col("others").alias("ob"))
     both = pairs.join(left, "a").join(right, "b")
@@ -297,9 +311,9 @@ def _cross_component(members: DataFrame, percent: int) -> DataFrame:
     return outside.join(other, (outside["token"] == other["token"]) & (F.col("component") != F.col("other_component")) & _may_link(percent)).select(*_pair()).distinct()
 
 
-def _verified(docs: DataFrame, classes: DataFrame, prefixes: DataFrame, pairs: DataFrame, n: int, percent: int, orders: int) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, emitted: DataFrame, pairs: DataFrame, n: int, percent: int, orders: int) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
-        pairs = written(_filtered(pairs, prefixes, orders))
+        pairs = written(_filtered(pairs, classes, emitted, orders))
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = written(classes.join(ids, "id").select(F.col("class_id").alias("_id"), F.col("key").alias("_key"), "id"))
         sets = written(_sets(matching(docs.select("doc_id", "text"), wanted, "inner").select("id", "text"), n))
@@ -324,18 +338,13 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, orders: int = O
         order = Orders(*_frequent(scanned), orders)
 
         emitted = written(_prefixes(docs, n, percent, order))
-        # Dealt by token once, for the counts and for the join with them.
-        tokens = emitted.where("token IS NOT NULL").select("token", "d1", F.col("place").cast("int").alias("place")).repartition("token")
-        shared = tokens.groupBy("token").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("token")
-        members = tokens.join(shared, "token").join(classes.select("d1", "id", "n", "s1", "s2"), "d1")
-        members = written(members.select("token", "id", "n", F.col("place").alias("pos"), "s1", "s2").dropDuplicates(["token", "id"]))
+        members = written(_members(emitted, classes))
         first = written(_leader_pairs(members, percent))
-        prefixes = emitted.where("token IS NULL").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select("id", "others")
-        links = _verified(docs, classes, prefixes, first, n, percent, orders)
+        links = _verified(docs, classes, emitted, first, n, percent, orders)
         placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
         rest = written(_cross_component(placed, percent).join(first, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = links.unionByName(_verified(docs, classes, prefixes, rest, n, percent, orders))
+            links = links.unionByName(_verified(docs, classes, emitted, rest, n, percent, orders))
         reached = classes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
         least = reached.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "key")).alias("first"))
         of_class = reached.join(least, "component").select("d1", "d2", "class_id", "component_id", "first")

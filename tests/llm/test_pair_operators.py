@@ -77,6 +77,16 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard.similar(docs.limit(0)).count() == 0
 
 
+def test_jaccard_deals_tokens_once_and_folds_repeats(spark):
+    """Token 1 is in two classes, one of which two tasks met; token 2 is in one class alone."""
+    emitted = spark.createDataFrame([(1, 10, 0), (1, 10, 0), (1, 20, 3), (2, 20, 1), (2, 20, 1), (None, 10, None)], "token long, d1 long, place long")
+    classes = spark.createDataFrame([(10, 0, 5, 7, 7), (20, 1, 6, 8, 8)], "d1 long, id long, n long, s1 long, s2 long")
+    found = jaccard._members(emitted, classes)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 5, 0, 7, 7), (1, 1, 6, 3, 8, 8)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_COL") == 1 or "ReusedExchange" in plan
+
+
 def test_word_hashes_tell_words_apart_in_any_cut(spark, monkeypatch):
     import pyarrow as pa
 
