@@ -47,6 +47,8 @@ MOST_FREQUENT = 1 << 20
 #: Tokens in a window of documents, and the count in it from which a token is reported.
 WINDOW_TOKENS = 4_000_000
 REPORT = 4
+#: Tokens in a batch of rows that a task sends on, or a few more.
+SENT = 1 << 16
 
 _SCANNED = "doc_id long, key long, n long, d1 long, d2 long, s1 long, s2 long, token long, reported long"
 _PREFIX = "token long, d1 long, place long, d2 long, others array<array<int>>"
@@ -138,31 +140,56 @@ class Orders:
         return out
 
 
+class Window:
+    """The tokens of some documents, one after the other in one buffer."""
+
+    def __init__(self):
+        # Beyond 32 MB, so that the memory goes back to the system with the buffer.
+        self.held, self.size = np.empty(WINDOW_TOKENS + (1 << 18), dtype=np.uint64), 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        end = self.size + len(tokens)
+        if end > len(self.held):
+            self.held = np.concatenate((self.held[: self.size], np.empty(len(tokens), dtype=np.uint64)))
+        self.held[self.size : end] = tokens
+        self.size = end
+
+    def report(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that are in it REPORT times or more, with their counts; it is empty after that.
+        It is sorted in place and only marked, as it is the most that a task holds."""
+        x, self.size = self.held[: self.size], 0
+        x.sort()
+        first = np.ones(len(x), dtype=bool)
+        np.not_equal(x[1:], x[:-1], out=first[1:])
+        last = max(0, len(x) - REPORT + 1)
+        starts = np.flatnonzero(first[:last] & (x[len(x) - last :] == x[:last]))
+        tokens = x[starts]
+        return tokens, np.searchsorted(x, tokens, side="right") - starts
+
+
 def _scan(docs: DataFrame, n: int) -> DataFrame:
     """A row for each document with its set's digest, and rows of reported tokens."""
     schema = arrow_schema(_SCANNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, window, size = Shingles(n), [], 0
+        shingles, window = Shingles(n), Window()
 
-        def report() -> list[tuple]:
-            tokens, count = np.unique(np.concatenate(window), return_counts=True) if window else (np.zeros(0, dtype=np.uint64),) * 2
-            window.clear()
-            often = count >= REPORT
-            return [(None, None, size, None, None, None, None, t, c) for t, c in zip(tokens[often].view(np.int64).tolist(), count[often].tolist(), strict=True)]
+        def report() -> Iterator[pa.RecordBatch]:
+            tokens, counts = window.report()
+            for a in range(0, len(tokens), SENT):
+                t, c = pa.array(tokens[a : a + SENT].view(np.int64)), pa.array(counts[a : a + SENT])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(t), f.type) for f in schema)][:-2] + [t, c], schema=schema)
 
         for batch in batches:
             rows = []
             for doc_id, key, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingles.batch(batch.column(1)), strict=True):
                 d1, d2 = digest(tokens)
                 rows.append((doc_id, key, len(tokens), d1, d2, *sketch(tokens), None, None))
-                window.append(tokens)
-                size += len(tokens)
-                if size >= WINDOW_TOKENS:
-                    rows += report()
-                    size = 0
+                window.add(tokens)
+                if window.size >= WINDOW_TOKENS:
+                    yield from report()
             yield columns_batch(rows, schema)
-        yield columns_batch(report(), schema)
+        yield from report()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("key")).mapInArrow(run, _SCANNED)
 
@@ -193,9 +220,18 @@ def _prefixes(docs: DataFrame, n: int, percent: int, orders: Orders) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, orders, seen = Shingles(n), held.value, set()
+        parts: list[list[np.ndarray]] = [[], [], []]
+        rows: list[tuple] = []
+        held_back = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            columns = [pa.array(np.concatenate(x)) for x in parts]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), schema.field(k).type) for k in (3, 4))], schema=schema)
+            yield columns_batch(rows, schema)
+            for x in (rows, *parts):
+                x.clear()
+
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], []]
-            rows: list[tuple] = []
             for tokens in shingles.batch(batch.column(0)):
                 if not len(tokens) or (d := digest(tokens)) in seen:
                     continue
@@ -204,11 +240,13 @@ def _prefixes(docs: DataFrame, n: int, percent: int, orders: Orders) -> DataFram
                 prefix, *others = orders.prefixes(tokens, size := prefix_size(len(tokens), percent))
                 for part, x in zip(parts, (prefix.view(np.int64), np.full(size, d[0]), np.arange(size)), strict=True):
                     part.append(x)
-                rows.append((None, d[0], None, d[1], [(x >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist() for x in others]))
-            if rows:
-                columns = [pa.array(np.concatenate(x)) for x in parts]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), schema.field(k).type) for k in (3, 4))], schema=schema)
-                yield columns_batch(rows, schema)
+                rows.append((None, d[0], None, d[1], [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in others]))
+                held_back += size
+                if held_back >= SENT:
+                    yield from sent()
+                    held_back = 0
+        if rows:
+            yield from sent()
 
     return docs.select("text").mapInArrow(run, _PREFIX)
 

@@ -87,6 +87,53 @@ def test_jaccard_deals_tokens_once_and_folds_repeats(spark):
     assert plan.count("REPARTITION_BY_COL") == 1 or "ReusedExchange" in plan
 
 
+class Held:
+    """Stands for a table: gives the function that a scan runs in a task."""
+
+    sparkSession = property(lambda self: self)
+    sparkContext = property(lambda self: self)
+    broadcast = lambda self, value: type("Sent", (), {"value": value})
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+
+def test_a_jaccard_scan_holds_little_more_than_a_window(spark):
+    """Every token of a full window is reported: the task holds it once, and sends short batches."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    size = jaccard.WINDOW_TOKENS // 4 // 10 + 4
+    texts = [" ".join(f"{k}x{i}" for i in range(size)) for k in range(10)] * 4
+    batches = (pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t]), pa.array([i])], ["doc_id", "text", "key"]) for i, t in enumerate(texts))
+    tracemalloc.start()
+    try:
+        found = [(b.num_rows, len(b) - b.column(7).null_count, (b.column(8).to_numpy(zero_copy_only=False) == 4).sum()) for b in jaccard._scan(Held(), 3)(batches)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    reported = 10 * (size - 2)
+    assert [sum(x) for x in zip(*found, strict=True)] == [40 + reported, reported, reported]
+    assert max(n for n, *_ in found) <= 1 << 16 and peak < 28 * jaccard.WINDOW_TOKENS, peak
+
+    texts = [" ".join(f"{k}x{i}" for i in range(200)) for k in range(20_000)]
+    orders = jaccard.Orders(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 3)
+    sent = [b.num_rows for b in jaccard._prefixes(Held(), 3, 90, orders)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))]
+    assert sum(sent) == 20_000 * (jaccard.prefix_size(198, 90) + 1) and max(sent) < (1 << 16) + 200
+
+
+def test_reported_tokens_equal_counts(monkeypatch):
+    monkeypatch.setattr(jaccard, "WINDOW_TOKENS", 50)
+    rng = np.random.default_rng(14)
+    for n, high in [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (50, 1), (300, 1), (50, 3), (300, 20), (300, 1000), (300_000, 60_000)]:
+        tokens, window = rng.integers(0, high, n).astype(np.uint64), jaccard.Window()
+        for _ in range(2):  # it is empty after a report
+            for part in np.array_split(tokens, 3):
+                window.add(part)
+            found, counts = np.unique(tokens, return_counts=True)
+            assert [x.tolist() for x in window.report()] == [found[counts >= 4].tolist(), counts[counts >= 4].tolist()]
+
+
 def test_word_hashes_tell_words_apart_in_any_cut(spark, monkeypatch):
     import pyarrow as pa
 
