@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlquilt.llm.common import MOST_SENT, FoldedWords, arrow_schema, columns_batch, matching, mix, scratch, table, text_key, written
@@ -140,7 +140,7 @@ class Orders:
         return out
 
 
-class Window:
+class TokenWindow:
     """The tokens of some documents, one after the other in one buffer."""
 
     def __init__(self):
@@ -172,7 +172,7 @@ def _scan(docs: DataFrame, n: int) -> DataFrame:
     schema = arrow_schema(_SCANNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, window = Shingles(n), Window()
+        shingles, window = Shingles(n), TokenWindow()
 
         def report() -> Iterator[pa.RecordBatch]:
             tokens, counts = window.report()
@@ -330,21 +330,26 @@ def _pair() -> list[Column]:
     return [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
 
 
-def _leader_pairs(members: DataFrame, percent: int) -> DataFrame:
-    lead = members.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("id").alias("draw"), "id", "n", "s1", "s2")).alias("lead"))
-    pairs = members.join(lead, "token").select(*_MEMBER, *_other("lead."))
-    return pairs.where(_may_link(percent)).select(*_pair()).distinct()
+def _led(members: DataFrame, percent: int) -> DataFrame:
+    """The members, with the ``other`` that leads their bucket if they may link with it, and
+    whether the bucket is ``wide``, so that its leader's pairs aren't all. Dealt by token once."""
+    bucket = Window.partitionBy("token")
+    lead = F.min(F.struct("pos", F.xxhash64("id").alias("draw"), "id", "n", "s1", "s2")).over(bucket)
+    led = members.select("token", *_MEMBER, lead.alias("lead"), (F.count("*").over(bucket) > 2).alias("wide"))
+    led = led.select("token", *_MEMBER, "wide", *_other("lead."))
+    return led.select("token", *_MEMBER, "wide", F.when(_may_link(percent), F.col("other")).alias("other"))
 
 
 def _cross_component(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members in different components. The members of the largest
-    component of a bucket stand on one side only, so a pair needs an outsider. A bucket
-    of two is done: its pair was that of a leader."""
-    mixed = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2").select("token")
-    members = written(members.join(mixed, "token"))
-    sizes = members.groupBy("token", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("main")).select("token", F.col("main.component").alias("main"))
-    outside = members.join(main, "token").where("component <> main").select("token", *_MEMBER, "component")
+    """Pairs of a bucket's members in different components, for members of wide buckets. Those
+    of the largest component of a bucket stand on one side only, so a pair needs an outsider."""
+    # Windows by token come first, so that the one by component too needs no further exchange.
+    bucket = Window.partitionBy("token")
+    mixed = members.select("token", *_MEMBER, "component", (F.min("component").over(bucket) < F.max("component").over(bucket)).alias("mixed")).where("mixed")
+    mixed = mixed.withColumn("size", F.count("*").over(Window.partitionBy("token", "component")))
+    main = F.max(F.struct("size", "component")).over(bucket)
+    members = written(mixed.select("token", *_MEMBER, "component", (F.col("component") != main["component"]).alias("outside")))
+    outside = members.where("outside").select("token", *_MEMBER, "component")
     other = members.select("token", *_other(), F.col("component").alias("other_component"))
     return outside.join(other, (outside["token"] == other["token"]) & (F.col("component") != F.col("other_component")) & _may_link(percent)).select(*_pair()).distinct()
 
@@ -376,10 +381,10 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT, orders: int = O
         order = Orders(*_frequent(scanned), orders)
 
         emitted = written(_prefixes(docs, n, percent, order))
-        members = written(_members(emitted, classes))
-        first = written(_leader_pairs(members, percent))
+        members = written(_led(_members(emitted, classes), percent))
+        first = written(members.where("other IS NOT NULL").select(*_pair()).distinct())
         links = _verified(docs, classes, emitted, first, n, percent, orders)
-        placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = members.where("wide").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
         rest = written(_cross_component(placed, percent).join(first, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.unionByName(_verified(docs, classes, emitted, rest, n, percent, orders))

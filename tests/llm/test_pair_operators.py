@@ -126,7 +126,7 @@ def test_reported_tokens_equal_counts(monkeypatch):
     monkeypatch.setattr(jaccard, "WINDOW_TOKENS", 50)
     rng = np.random.default_rng(14)
     for n, high in [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (50, 1), (300, 1), (50, 3), (300, 20), (300, 1000), (300_000, 60_000)]:
-        tokens, window = rng.integers(0, high, n).astype(np.uint64), jaccard.Window()
+        tokens, window = rng.integers(0, high, n).astype(np.uint64), jaccard.TokenWindow()
         for _ in range(2):  # it is empty after a report
             for part in np.array_split(tokens, 3):
                 window.add(part)
