@@ -87,6 +87,18 @@ def test_jaccard_deals_tokens_once_and_folds_repeats(spark):
     assert plan.count("REPARTITION_BY_COL") == 1 or "ReusedExchange" in plan
 
 
+def test_jaccard_leaders_take_one_exchange_and_wide_buckets_cross_components(spark):
+    """Token 1 has a leader, one that may link, and one that is too small; token 2 is a bucket of two."""
+    rows = [(1, 11, 20, 0, 0, 0), (1, 12, 20, 1, 0, 0), (1, 13, 5, 1, 0, 0), (1, 14, 20, 1, 0, 0), (2, 21, 20, 0, 0, 0), (2, 22, 20, 1, 0, 0)]
+    led = jaccard._led(spark.createDataFrame(rows, "token long, id long, n long, pos int, s1 long, s2 long"), 90)
+    assert led._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(token") == 1
+    assert {r.id: (r.other, r.wide) for r in led.collect()} == {11: (None, True), 12: (11, True), 13: (None, True), 14: (11, True), 21: (None, False), 22: (21, False)}
+    component = {11: 11, 12: 11, 13: 13, 14: 14}
+    placed = spark.createDataFrame([(*r, component[r[1]]) for r in rows if r[0] == 1], "token long, id long, n long, pos int, s1 long, s2 long, component long")
+    assert sorted(map(tuple, jaccard._cross_component(placed, 90).collect())) == [(11, 14), (12, 14)]
+    assert jaccard._cross_component(placed.where("id < 13"), 90).count() == 0
+
+
 class Held:
     """Stands for a table: gives the function that a scan runs in a task."""
 
